@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelog.llm import line_dedup, quality
+from lakelog.llm import decontaminate, line_dedup, quality
 
 _MODULES = {
+    "op1_decontamination": decontaminate,
     "op2_line_dedup": line_dedup,
     "op9_quality_rules": quality,
 }

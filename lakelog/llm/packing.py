@@ -38,11 +38,6 @@ CUT_SENTENCE = 64.0
 CUT_HARD = 512.0
 DOCS_PER_SHARD = 4096
 
-_END = np.zeros(256, bool)
-_END[[ord(c) for c in ".!?"]] = True
-_BLANK = np.zeros(256, bool)
-_BLANK[[ord(" "), ord("\n"), ord("\t"), ord("\r")]] = True
-
 WINDOWS = "shard long, window int, n_tokens int, padding int, spans array<struct<doc_id:long,from_token:int,to_token:int>>"
 
 
@@ -53,17 +48,7 @@ def sentence_lengths(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = Words(batch.column(1))
-            n = len(words.starts)
-            buf = words.buf
-            stop = _END[buf]
-            stop[:-1] &= _BLANK[buf[1:]]
-            stop |= buf == 10
-            seen = np.concatenate([[0], np.cumsum(stop)])
-            ends = np.zeros(n, bool)
-            if n:
-                ends[:-1] = seen[words.starts[1:]] > seen[words.ends[:-1]]
-                last = words.first[1:][np.diff(words.first) > 0] - 1
-                ends[last] = True
+            ends = words.sentence_ends()
             at = np.flatnonzero(ends)
             lengths = np.diff(np.concatenate([[-1], at]))
             first = np.searchsorted(at, words.first)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelog.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from lakelog.llm import decontaminate, jaccard_join, line_dedup, packing, quality, toxicity
 
 _MODULES = {
     "op1_decontamination": decontaminate,
     "op2_line_dedup": line_dedup,
+    "op4_toxicity": toxicity,
     "op7_packing": packing,
     "op8_jaccard_join": jaccard_join,
     "op9_quality_rules": quality,

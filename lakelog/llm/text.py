@@ -23,6 +23,10 @@ _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = True
 _WORD[128:] = True
 _VALUE = (np.arange(256, dtype=np.uint64) * U(0xBF58476D1CE4E5B9) + U(0x94D049BB133111EB)).astype(np.uint64)
+_END = np.zeros(256, dtype=bool)
+_END[[ord(c) for c in ".!?"]] = True
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[ord(c) for c in " \n\t\r"]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Texts are worked on in pieces of about so many bytes (never less than one text), to bound memory.
@@ -76,11 +80,28 @@ class Words:
         n = len(self.buf)
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        power, inverse = _power_tables(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[self.buf] * power[:n], dtype=np.uint64, out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+        power, self._inverse = _power_tables(n + 1)
+        self._total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUE[self.buf] * power[:n], dtype=np.uint64, out=self._total[1:])
+        return self.pieces(self.starts, self.ends)
+
+    def pieces(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of pieces of ``buf`` (equal pieces have equal hashes); there must be words."""
+        h = (self._total[ends] - self._total[starts]) * self._inverse[starts]
+        return mix(h + (ends - starts).astype(np.uint64))
+
+    def sentence_ends(self) -> np.ndarray:
+        """Whether each word ends a sentence: a line or the text ends behind it, or . ! or ? and white space follow."""
+        n, buf = len(self.starts), self.buf
+        stop = _END[buf]
+        stop[:-1] &= _BLANK[buf[1:]]
+        stop |= buf == 10
+        seen = np.concatenate([[0], np.cumsum(stop)])
+        ends = np.zeros(n, bool)
+        if n:
+            ends[:-1] = seen[self.starts[1:]] > seen[self.ends[:-1]]
+            ends[self.first[1:][np.diff(self.first) > 0] - 1] = True
+        return ends
 
     def text_of(self) -> np.ndarray:
         """The index of the text of each word."""

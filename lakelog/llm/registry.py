@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelog.llm import decontaminate, jaccard_join, line_dedup, packing, quality, toxicity
+from lakelog.llm import decontaminate, jaccard_join, line_dedup, packing, quality, toxicity, warc
 
 _MODULES = {
     "op1_decontamination": decontaminate,
     "op2_line_dedup": line_dedup,
     "op4_toxicity": toxicity,
+    "op6_warc_fixity": warc,
     "op7_packing": packing,
     "op8_jaccard_join": jaccard_join,
     "op9_quality_rules": quality,

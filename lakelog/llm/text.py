@@ -33,7 +33,8 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 CHUNK_BYTES = 1 << 20
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, 0 to n-1, modulo 2**64."""
     if len(_powers[0]) < n:
         m = max(n, CHUNK_BYTES * 2)
         for k, p in enumerate((_P, _PINV)):
@@ -80,7 +81,7 @@ class Words:
         n = len(self.buf)
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        power, self._inverse = _power_tables(n + 1)
+        power, self._inverse = power_tables(n + 1)
         self._total = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUE[self.buf] * power[:n], dtype=np.uint64, out=self._total[1:])
         return self.pieces(self.starts, self.ends)

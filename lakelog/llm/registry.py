@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelog.llm import decontaminate, jaccard_join, line_dedup, packing, quality, token_output, toxicity, warc
+from lakelog.llm import decontaminate, jaccard_join, line_dedup, packing, quality, sanitize, token_output, toxicity, warc
 
 _MODULES = {
     "op1_decontamination": decontaminate,
@@ -17,6 +17,7 @@ _MODULES = {
     "op7_packing": packing,
     "op8_jaccard_join": jaccard_join,
     "op9_quality_rules": quality,
+    "op10_sanitize": sanitize,
 }
 
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelog.llm import decontaminate, jaccard_join, line_dedup, packing, quality, sanitize, token_output, toxicity, warc
+from lakelog.llm import decontaminate, html_extract, jaccard_join, line_dedup, packing, quality, sanitize, token_output, toxicity, warc
 
 _MODULES = {
     "op1_decontamination": decontaminate,
     "op2_line_dedup": line_dedup,
     "op3_token_output": token_output,
     "op4_toxicity": toxicity,
+    "op5_html_extraction": html_extract,
     "op6_warc_fixity": warc,
     "op7_packing": packing,
     "op8_jaccard_join": jaccard_join,

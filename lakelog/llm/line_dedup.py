@@ -25,11 +25,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelog.llm.storage import new_path, persist, remove
+from lakelog.llm.storage import new_path, persist, remove, small
 
 MIN_CHARS = 16
 BATCHES = 4
 FANOUT = 2
+#: Documents with lines to drop that are broadcast; beyond it the texts are shuffled to them.
+BROADCAST_DOCUMENTS = 500_000
 HASH = ["h1", "h2"]
 
 
@@ -117,6 +119,7 @@ def drop_seen_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int =
     """``docs`` with the repeated lines taken out of ``text``; with ``counts``, also n_lines and n_dropped."""
     narrow = docs.select("doc_id", "text")
     drops = dropped_lines(narrow, min_chars, batches, fanout).toDF("__id", "__th", "__drops")
+    drops = F.broadcast(drops) if small(drops, BROADCAST_DOCUMENTS) else drops
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]) & (F.xxhash64(docs["text"]) == drops["__th"]), "left")
     lines = F.split(docs["text"], "\n")
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drops"), i)), "\n")

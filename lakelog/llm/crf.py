@@ -38,7 +38,10 @@ class Crf:
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         """``features``: an index per position and feature, 0 where absent."""
-        return self.weights[features].sum(axis=1) + self.bias
+        out = np.full(len(features), float(self.bias))
+        for k in range(features.shape[1]):
+            out += self.weights[features[:, k]]
+        return out
 
     def _messages(self, emit: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = np.exp(self.move)
@@ -91,6 +94,7 @@ class Crf:
     def fit(self, features: np.ndarray, tags: np.ndarray, first: np.ndarray, epochs: int = 30, rate: float = 0.5, l2: float = 1e-3) -> "Crf":
         """Maximise the likelihood of the tags by Adam over all chains; deterministic."""
         chains = Chains(first)
+        columns = np.ascontiguousarray(features.T)
         inner = np.ones(len(tags), bool)
         inner[first[:-1][np.diff(first) > 0]] = False
         later = np.flatnonzero(inner)
@@ -101,15 +105,16 @@ class Crf:
         m, v = np.zeros(size), np.zeros(size)
         scale = max(int(tags.sum()), 1)
         for step in range(1, epochs + 1):
-            e, fwd, bwd = self._messages(self.emissions(features), chains)
+            e, fwd, bwd = self._messages(self.emissions(columns.T), chains)
             o = fwd * bwd
             error = tags - o / (1 + o)
-            flat = np.bincount(features.ravel(), weights=np.repeat(error, features.shape[1]), minlength=len(self.weights))
+            flat = np.zeros(len(self.weights))
+            for column in columns:
+                flat += np.bincount(column, weights=error, minlength=len(self.weights))
             a = np.exp(self.move)
             f, b = fwd[later - 1], e[later] * bwd[later]
-            pair = np.stack([np.full(len(later), a[0, 0]), a[0, 1] * b, a[1, 0] * f, a[1, 1] * f * b])
-            pair /= pair.sum(axis=0)
-            expected = pair.sum(axis=1).reshape(2, 2)
+            z = 1 / (a[0, 0] + a[0, 1] * b + a[1, 0] * f + a[1, 1] * f * b)
+            expected = np.array([[a[0, 0] * z.sum(), a[0, 1] * (b * z).sum()], [a[1, 0] * (f * z).sum(), a[1, 1] * (f * b * z).sum()]])
             grad = np.concatenate([flat, [error.sum(), error[heads].sum()], (seen - expected).ravel()]) / scale
             theta = np.concatenate([self.weights, [self.bias, self.start], self.move.ravel()])
             grad[:-6] -= l2 * theta[:-6]

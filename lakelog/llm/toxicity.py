@@ -4,7 +4,8 @@ Training: a bounded sample of labelled documents (``max_toxic`` and ``max_clean`
 of least hash) is read to the driver.  Tokens get labels from the documents': a word, or
 an opening of 4 to 8 bytes of words, counts as a toxic term if the documents of the sample
 that have it are toxic so often that chance would do it with a probability under
-``chance``; a term's words in toxic documents are the positive tokens.  The CRF learns from
+``chance``, and if it comes with different neighbours (the words of a much copied document
+don't); a term's words in toxic documents are the positive tokens.  The CRF learns from
 these with hashed features (word, openings, ending), so that it also knows inflected forms.
 
 Scoring: one scan, forward-backward over every sentence of every document.  A document's
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelog.llm.crf import Crf
-from lakelog.llm.text import U, Words, chunks
+from lakelog.llm.text import U, Words, chunks, mix
 
 MAX_TOXIC = 800
 MAX_CLEAN = 2400
@@ -57,9 +58,9 @@ def unit_hashes(words: Words) -> np.ndarray:
     return out
 
 
-def feature_index(units: np.ndarray) -> np.ndarray:
-    """Units as indices of weights; 0 stays 0."""
-    return np.where(units == 0, 0, (units >> U(20)) % U(FEATURES - 1) + U(1)).astype(np.int64)
+def feature_index(units: np.ndarray, n: int = FEATURES) -> np.ndarray:
+    """Units as indices below n; 0 stays 0."""
+    return np.where(units == 0, 0, (units >> U(20)) % U(n - 1) + U(1)).astype(np.int32)
 
 
 def sentences(words: Words) -> np.ndarray:
@@ -67,37 +68,59 @@ def sentences(words: Words) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(words.sentence_ends()) + 1])
 
 
-def term_tags(words: Words, toxic: np.ndarray, chance: float = CHANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Token labels from the texts' labels, and the unit hashes."""
-    units = unit_hashes(words)
-    of = words.text_of()
+def neighbours(words: Words) -> np.ndarray:
+    """A hash of the words before and behind each word."""
+    h = np.concatenate([np.zeros(1, np.uint64), words.hashes, np.zeros(1, np.uint64)])
+    return (mix(h[:-2] * U(0x9E3779B97F4A7C15) + h[2:]) >> U(33)).astype(np.int32)
+
+
+def term_tags(units: np.ndarray, of: np.ndarray, toxic: np.ndarray, near: np.ndarray, chance: float = CHANCE) -> np.ndarray:
+    """Token labels from the texts' labels.  ``units``: an index per token and kind, 0 where
+    absent; ``of``: the text of each token; ``near``: its neighbours."""
     prior = toxic.mean() if len(toxic) else 0.0
     tags = np.zeros(len(of), bool)
     if not 0 < prior < 1:
-        return tags, units
-    for k in range(_KINDS - 1):  # endings alone don't make a term
-        has = np.flatnonzero(units[:, k])
-        unit, inv = np.unique(units[has, k], return_inverse=True)
-        pair = np.unique(inv * np.int64(len(toxic)) + of[has])
+        return tags
+    for k in range(units.shape[1] - 1):  # endings alone don't make a term
+        pair = np.unique(units[:, k].astype(np.int64) * len(toxic) + of)
         u, d = pair // len(toxic), pair % len(toxic)
-        bad = np.bincount(u, weights=toxic[d], minlength=len(unit))
-        good = np.bincount(u, minlength=len(unit)) - bad
-        # log of the chance that so many of the documents are toxic
-        score = bad * math.log(prior) + good * math.log(1 - prior)
-        total = bad + good
-        entropy = np.where((bad > 0) & (good > 0), -(bad * np.log(np.maximum(bad, 1) / np.maximum(total, 1)) + good * np.log(np.maximum(good, 1) / np.maximum(total, 1))), 0.0)
-        term = (score + entropy < math.log(chance)) & (bad >= 0.9 * total)
-        tags[has] |= term[inv]
-    return tags & toxic[of].astype(bool), units
+        size = int(units[:, k].max(initial=0)) + 1
+        bad = np.bincount(u, weights=toxic[d], minlength=size)
+        total = np.bincount(u, minlength=size)
+        good = total - bad
+        contexts = np.bincount(np.unique((units[:, k].astype(np.int64) << 32) + near) >> 32, minlength=size)
+        # log of how much likelier so many toxic documents are by the term than by chance
+        own = np.where((bad > 0) & (good > 0), bad * np.log(np.maximum(bad, 1) / np.maximum(total, 1)) + good * np.log(np.maximum(good, 1) / np.maximum(total, 1)), 0.0)
+        term = (bad * math.log(prior) + good * math.log(1 - prior) - own < math.log(chance)) & (bad >= 0.9 * total) & (contexts >= 0.5 * total)
+        term[0] = False
+        tags |= term[units[:, k]]
+    return tags & toxic[of].astype(bool)
 
 
 def train(texts: pa.Array, toxic: np.ndarray, chance: float = CHANCE, epochs: int = 40) -> Crf | None:
-    """A CRF from texts with labels 0 and 1; None if no term stands out."""
-    words = Words(texts)
-    tags, units = term_tags(words, toxic, chance)
+    """A CRF from texts with labels 0 and 1; None if no term stands out.  Texts are read in
+    pieces, so that the driver holds 36 bytes a token."""
+    units, of, near, first, tokens = [np.zeros((0, _KINDS), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+    at = 0
+    for batch in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        words = Words(batch.column(0))
+        units.append(feature_index(unit_hashes(words), 1 << 24))
+        of.append((words.text_of() + at).astype(np.int32))
+        near.append(neighbours(words))
+        first.append(sentences(words)[1:] + tokens)
+        at, tokens = at + batch.num_rows, tokens + len(words.starts)
+    every = np.concatenate(units)
+    units.clear()
+    tags = term_tags(every, np.concatenate(of), toxic, np.concatenate(near), chance)
     if not tags.any():
         return None
-    return Crf(FEATURES).fit(feature_index(units), tags.astype(np.int64), sentences(words), epochs=epochs)
+    return Crf(FEATURES).fit(narrow(every), tags.astype(np.int64), np.concatenate(first), epochs=epochs)
+
+
+def narrow(units: np.ndarray) -> np.ndarray:
+    """Indices below 2**24 as indices of weights, in place."""
+    units[units > 0] = units[units > 0] % (FEATURES - 1) + 1
+    return units
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[pa.Array, np.ndarray]:
@@ -124,7 +147,7 @@ def toxic_spans(docs: DataFrame, crf: Crf | None, threshold: float = THRESHOLD)
             words = Words(batch.column(1))
             if not len(words.starts):
                 continue
-            p = scorer.marginals(scorer.emissions(feature_index(unit_hashes(words))), sentences(words))
+            p = scorer.marginals(scorer.emissions(narrow(feature_index(unit_hashes(words), 1 << 24))), sentences(words))
             hit = np.flatnonzero(p >= threshold)
             if not len(hit):
                 continue

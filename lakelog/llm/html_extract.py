@@ -6,7 +6,8 @@ not) over the blocks of a page is trained on labelled pages and decoded by Viter
 
 Labelled pages are a bounded sample of ``max_pages`` pages, those of least hash: the blocks
 of a page that are lines of the one document which shares the most lines with it are its
-content (distant supervision from ``documents``).
+content (distant supervision from ``documents``).  What is broadcast is bounded by the
+sample.
 
 Defined cases: null, empty and tagless html are pages without, or with one, block; broken
 markup never fails: an unclosed comment, script or tag ends the page, end tags without a
@@ -34,6 +35,8 @@ from lakelog.llm.storage import persist
 from lakelog.llm.text import chunks
 
 MAX_PAGES = 600
+#: Lines in more documents than this don't vote for a page's document.
+TELLING = 20
 FEATURES = 1 << 14
 WIDTH = 20
 
@@ -168,10 +171,12 @@ def labelled_pages(pages: DataFrame, docs: DataFrame, max_pages: int = MAX_PAGES
     schema = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("line", T.StringType())])
     sample = spark.createDataFrame(rows, schema).select("page", "block", F.xxhash64("line").alias("h"))
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.xxhash64(F.trim("line")).alias("h"))
-    hits = persist(lines.join(F.broadcast(sample), "h").select("page", "block", "doc_id").distinct(), "hits")
-    score = hits.groupBy("page", "doc_id").agg(F.count("*").alias("n"))
-    best = score.groupBy("page").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"))
-    found = hits.join(best, ["page", "doc_id"]).select("page", "block").toArrow()
+    hits = persist(lines.join(F.broadcast(sample.select("h").distinct()), "h", "left_semi").distinct(), "hits")
+    # lines of many documents don't tell which one a page is of
+    telling = hits.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") <= TELLING)
+    votes = hits.join(F.broadcast(telling.select("h")), "h", "left_semi").join(F.broadcast(sample), "h").groupBy("page", "doc_id").agg(F.count_distinct("block").alias("n"))
+    best = votes.groupBy("page").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"))
+    found = hits.join(F.broadcast(best), "doc_id").join(F.broadcast(sample), ["page", "h"]).select("page", "block").distinct().toArrow()
     of: dict[int, list[int]] = {}
     for p, k in zip(found.column("page").to_pylist(), found.column("block").to_pylist()):
         of.setdefault(p, []).append(k)

@@ -118,16 +118,17 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
 def drop_seen_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, counts: bool = False) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; with ``counts``, also n_lines and n_dropped."""
     narrow = docs.select("doc_id", "text")
-    drops = dropped_lines(narrow, min_chars, batches, fanout).toDF("__id", "__th", "__drops")
+    drops = dropped_lines(narrow, min_chars, batches, fanout)
+    own_id, own_hash, gone = drops["doc_id"], drops["th"], drops["drops"]
     drops = F.broadcast(drops) if small(drops, BROADCAST_DOCUMENTS) else drops
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]) & (F.xxhash64(docs["text"]) == drops["__th"]), "left")
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(own_id) & (F.xxhash64(docs["text"]) == own_hash), "left")
     lines = F.split(docs["text"], "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drops"), i)), "\n")
-    text = F.when(F.col("__drops").isNull(), docs["text"]).otherwise(rest)
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(gone.isNull(), docs["text"]).otherwise(rest)
     out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
     if counts:
         n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.size(lines))
-        n_dropped = F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops"))
+        n_dropped = F.when(gone.isNull(), 0).otherwise(F.size(gone))
         out += [n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped")]
     return joined.select(*out)
 

@@ -35,19 +35,20 @@ SYMBOLS = "*#$%&|{}<>!~^=\\"
 MEASURES = ("n_chars", "n_words", "mean_word", "symbol_ratio", "upper_ratio", "stop_ratio", "echo_ratio", "repeated_line_ratio")
 
 
-def parts(text: Column) -> dict[str, Column]:
-    """What the measures are made of, split once: the text without null, its words and its lines."""
+def parts(text: Column, p: str = "__") -> dict[str, Column]:
+    """What the measures are made of, split once: the text without null, its words and its
+    lines; ``p`` opens the names."""
     t = F.coalesce(text, F.lit(""))
     return {
-        "__text": t,
-        "__words": F.filter(F.split(F.lower(t), r"[ \n]+"), lambda w: w != ""),
-        "__lines": F.filter(F.split(t, "\n"), lambda x: x != ""),
+        f"{p}text": t,
+        f"{p}words": F.filter(F.split(F.lower(t), r"[ \n]+"), lambda w: w != ""),
+        f"{p}lines": F.filter(F.split(t, "\n"), lambda x: x != ""),
     }
 
 
-def measures() -> dict[str, Column]:
+def measures(p: str = "__") -> dict[str, Column]:
     """Each measure as built-in functions of the columns of ``parts``, without nulls."""
-    t, words, lines = F.col("__text"), F.col("__words"), F.col("__lines")
+    t, words, lines = F.col(f"{p}text"), F.col(f"{p}words"), F.col(f"{p}lines")
     chars, n, m = F.length(t), F.size(words), F.size(lines)
     over = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(n, F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -96,10 +97,13 @@ def quality_rules(docs: DataFrame, rules: list[tuple] = RULES, keep_only: bool =
 
 def keep_good(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """The rows of ``docs``, with their own columns, that break no rule."""
-    own = [docs[c] for c in docs.columns]
-    split = docs.select(*own, *[c.alias(k) for k, c in parts(docs["text"]).items()])
-    wide = split.select(*docs.columns, once({f"__{k}": c for k, c in measures().items()}))
-    return wide.filter(F.size(broken(rules, "__")) == 0).select(*docs.columns)
+    p = "__"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    split = docs.select(*[docs[c] for c in docs.columns], *[c.alias(k) for k, c in parts(docs["text"], p).items()])
+    own = [split[c] for c in docs.columns]
+    wide = split.select(*own, once({p + k: c for k, c in measures(p).items()}))
+    return wide.filter(F.size(broken(rules, p)) == 0).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,36 +82,39 @@ def term_tags(units: np.ndarray, of: np.ndarray, toxic: np.ndarray, near: np.nda
     if not 0 < prior < 1:
         return tags
     for k in range(units.shape[1] - 1):  # endings alone don't make a term
-        pair = np.unique(units[:, k].astype(np.int64) * len(toxic) + of)
+        found, unit = np.unique(units[:, k], return_inverse=True)
+        size = len(found)
+        pair = np.unique(unit * np.int64(len(toxic)) + of)
         u, d = pair // len(toxic), pair % len(toxic)
-        size = int(units[:, k].max(initial=0)) + 1
         bad = np.bincount(u, weights=toxic[d], minlength=size)
         total = np.bincount(u, minlength=size)
         good = total - bad
-        contexts = np.bincount(np.unique((units[:, k].astype(np.int64) << 32) + near) >> 32, minlength=size)
+        contexts = np.bincount(np.unique((unit.astype(np.int64) << 32) + near) >> 32, minlength=size)
         # log of how much likelier so many toxic documents are by the term than by chance
         own = np.where((bad > 0) & (good > 0), bad * np.log(np.maximum(bad, 1) / np.maximum(total, 1)) + good * np.log(np.maximum(good, 1) / np.maximum(total, 1)), 0.0)
         term = (bad * math.log(prior) + good * math.log(1 - prior) - own < math.log(chance)) & (bad >= 0.9 * total) & (contexts >= 0.5 * total)
-        term[0] = False
-        tags |= term[units[:, k]]
+        term &= found > 0
+        tags |= term[unit]
     return tags & toxic[of].astype(bool)
 
 
 def train(texts: pa.Array, toxic: np.ndarray, chance: float = CHANCE, epochs: int = 40) -> Crf | None:
     """A CRF from texts with labels 0 and 1; None if no term stands out.  Texts are read in
     pieces, so that the driver holds 36 bytes a token."""
-    units, of, near, first, tokens = [np.zeros((0, _KINDS), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+    units, of, near, first, tokens = [np.zeros((_KINDS, 0), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
     at = 0
     for batch in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
         words = Words(batch.column(0))
-        units.append(feature_index(unit_hashes(words), 1 << 24))
+        units.append(np.ascontiguousarray(feature_index(unit_hashes(words), 1 << 24).T))
         of.append((words.text_of() + at).astype(np.int32))
         near.append(neighbours(words))
         first.append(sentences(words)[1:] + tokens)
         at, tokens = at + batch.num_rows, tokens + len(words.starts)
-    every = np.concatenate(units)
+    every = np.concatenate(units, axis=1).T  # a column of it lies in one piece
     units.clear()
     tags = term_tags(every, np.concatenate(of), toxic, np.concatenate(near), chance)
+    of.clear()
+    near.clear()
     if not tags.any():
         return None
     return Crf(FEATURES).fit(narrow(every), tags.astype(np.int64), np.concatenate(first), epochs=epochs)

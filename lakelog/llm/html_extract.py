@@ -165,7 +165,11 @@ def features(page: list[Block]) -> np.ndarray:
 def labelled_pages(pages: DataFrame, docs: DataFrame, max_pages: int = MAX_PAGES) -> list[tuple[str, np.ndarray]]:
     """(html, tag of each block) of at most ``max_pages`` pages that share lines with a document."""
     spark = pages.sparkSession
-    picked = pages.select("page_id", "html").filter("page_id IS NOT NULL AND html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(max_pages).toArrow()
+    order = [F.xxhash64("page_id"), F.col("page_id")]
+    usable = pages.select("page_id", "html").filter("page_id IS NOT NULL AND html IS NOT NULL")
+    # ids first: pages themselves aren't sorted
+    ids = usable.select("page_id").distinct().orderBy(*order).limit(max_pages)
+    picked = usable.join(F.broadcast(ids), "page_id").orderBy(*order, F.xxhash64("html")).limit(max_pages).toArrow()
     texts = picked.column("html").to_pylist()
     rows = [(p, k, b.text) for p, x in enumerate(texts) for k, b in enumerate(blocks(x))]
     schema = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("line", T.StringType())])

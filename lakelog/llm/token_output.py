@@ -10,9 +10,13 @@ A block holds the ids of up to ``BLOCK_TOKENS`` tokens of one document; blocks d
 independently, and every ``CHECKPOINT`` tokens a bit offset is kept, from which decoding can
 start.  Decoding looks ``LIMIT`` bits up in one table, all checkpoints of a batch in step.
 
+The result holds its own code: one row of block -1 has the code lengths (id, n_tokens, bits)
+in ``lengths``, which is null in all blocks.  ``decode_blocks`` reads nothing else.  The query
+writes its rows, decodes what it wrote and compares it with the ids; it fails if they differ.
+
 Defined cases: a null text has no block; an empty one neither; invalid surrogates can't
 occur in Spark's strings; rows with a null doc_id keep it; repeated rows give repeated
-blocks; an empty table gives an empty code and no blocks; only doc_id and text are read.
+blocks; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ BLOCK_TOKENS = 1 << 16
 CHECKPOINT = 256
 
 BLOCKS = "doc_id long, block int, n_tokens int, n_bits long, checkpoints array<long>, code binary"
+RESULT = f"{BLOCKS}, lengths array<struct<id:int,n_tokens:long,bits:int>>"
 
 
 # ---- tokens
@@ -281,35 +286,101 @@ def encode_blocks(tokens: DataFrame, code: np.ndarray, length: np.ndarray) -> Da
     return tokens.mapInArrow(run, BLOCKS)
 
 
-def decode(data: bytes, n_tokens: int, checkpoints: np.ndarray, table: tuple[np.ndarray, np.ndarray], limit: int = LIMIT) -> np.ndarray:
-    """The ids of a block; all checkpoints are decoded in step."""
+def decode_runs(data: bytes, at: np.ndarray, size: np.ndarray, table: tuple[np.ndarray, np.ndarray], limit: int = LIMIT) -> np.ndarray:
+    """The ids of runs of at most ``CHECKPOINT`` tokens, one after the other: ``at`` are the
+    runs' bit offsets, ``size`` their tokens; all are decoded in step."""
     ids, bits = table
     raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
     window = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
-    at = np.array(checkpoints, np.int64)
-    out = np.zeros((len(at), CHECKPOINT), np.uint16)
-    for k in range(min(CHECKPOINT, n_tokens)):
-        lanes = slice(None) if (len(at) - 1) * CHECKPOINT + k < n_tokens else slice(0, len(at) - 1)
-        p = at[lanes]
-        look = (window[p >> 3] >> (32 - limit - (p & 7)).astype(np.uint32)) & np.uint32((1 << limit) - 1)
-        out[lanes, k] = ids[look]
-        at[lanes] = p + bits[look]
-    return out.reshape(-1)[:n_tokens]
+    by = np.argsort(-size, kind="stable")
+    p = at[by]
+    # how many runs, the longest first, still have a token k
+    live = np.searchsorted(-size[by], -np.arange(CHECKPOINT), "left")
+    out = np.zeros((CHECKPOINT, len(at)), np.uint16)
+    for k, n in enumerate(live):
+        if not n:
+            break
+        look = (window[p[:n] >> 3] >> (32 - limit - (p[:n] & 7)).astype(np.uint32)) & np.uint32((1 << limit) - 1)
+        out[k, :n] = ids[look]
+        p[:n] += bits[look]
+    back = np.empty(len(at), np.int64)
+    back[by] = np.arange(len(at))
+    return out.T[back][np.arange(CHECKPOINT) < size[:, None]]
+
+
+def _run_sizes(n_tokens: int, runs: int) -> np.ndarray:
+    return np.minimum(CHECKPOINT, n_tokens - CHECKPOINT * np.arange(runs))
 
 
-def build_code(tokens: DataFrame, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """The canonical code of all ids that occur; the counts are one row per id of the vocabulary."""
+def decode(data: bytes, n_tokens: int, checkpoints: np.ndarray, table: tuple[np.ndarray, np.ndarray], limit: int = LIMIT) -> np.ndarray:
+    """The ids of a block."""
+    return decode_runs(data, np.array(checkpoints, np.int64), _run_sizes(n_tokens, len(checkpoints)), table, limit)
+
+
+def decode_blocks(result: DataFrame) -> DataFrame:
+    """(doc_id, block, ids): the 16-bit ids of each block, as bytes, from rows of ``token_output`` alone."""
+    lengths = result.filter("lengths IS NOT NULL").select(F.inline("lengths")).toArrow()
+    bits = lengths.column("bits").to_numpy().astype(np.int64)
+    limit = int(bits.max()) if len(bits) else LIMIT
+    table = decode_table(*canonical(lengths.column("id").to_numpy(), bits), limit)
+    known = result.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "code"):
+            codes, n, points = (batch.column(k).to_pylist() for k in ("code", "n_tokens", "checkpoints"))
+            base = np.cumsum([0, *map(len, codes)])[:-1]
+            at = np.concatenate([np.array(c, np.int64) + 8 * b for c, b in zip(points, base)])
+            size = np.concatenate([_run_sizes(k, len(c)) for k, c in zip(n, points)])
+            ids = decode_runs(b"".join(codes), at, size, known.value, limit)
+            first = 2 * np.cumsum([0, *n])
+            cells = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(ids.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), cells.cast(pa.binary())], ["doc_id", "block", "ids"])
+
+    blocks = result.filter("lengths IS NULL").select("doc_id", "block", "n_tokens", "checkpoints", "code")
+    return blocks.mapInArrow(run, "doc_id long, block int, ids binary")
+
+
+def _digest(blocks: DataFrame) -> tuple:
+    """How many (doc_id, block, ids) there are, and the sum of their hashes."""
+    h = F.xxhash64("doc_id", "block", "ids").cast("decimal(20,0)")
+    return tuple(blocks.agg(F.count("*"), F.sum(h)).first())
+
+
+def check_blocks(result: DataFrame, tokens: DataFrame) -> None:
+    """Decode the rows of ``token_output`` and hold them against the ids of all documents."""
+    size = 2 * BLOCK_TOKENS
+    parts = F.expr(f"transform(sequence(0, CAST((length(ids) - 1) div {size} AS INT)), k -> substring(ids, k * {size} + 1, {size}))")
+    want = tokens.select("doc_id", F.posexplode(parts).alias("block", "ids"))
+    if _digest(decode_blocks(result)) != _digest(want):
+        raise RuntimeError("the blocks don't decode to the ids they were made from")
+
+
+def code_table(tokens: DataFrame, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids that occur, how often, and their code lengths; one row per id of the vocabulary at most."""
     table = counts(tokens).orderBy("id").toArrow()
     ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-    return canonical(ids, code_lengths(n, limit))
+    return ids, n, code_lengths(n, limit)
+
+
+def build_code(tokens: DataFrame, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """The canonical code of all ids that occur."""
+    ids, _, bits = code_table(tokens, limit)
+    return canonical(ids, bits)
 
 
 def token_output(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
-    """The blocks of all documents."""
+    """The blocks of all documents, and a row with the code lengths."""
+    spark = docs.sparkSession
     tokens = persist(token_ids(docs, vocabulary), "ids")
-    return encode_blocks(tokens, *build_code(tokens, limit))
+    ids, n, bits = code_table(tokens, limit)
+    lengths = list(zip(ids.tolist(), n.tolist(), bits.tolist()))
+    code = spark.createDataFrame([(None, -1, 0, 0, [], b"", lengths)] if lengths else [], RESULT).coalesce(1)
+    blocks = encode_blocks(tokens, *canonical(ids, bits))
+    result = persist(code.unionByName(blocks, allowMissingColumns=True), "blocks")
+    check_blocks(result, tokens)
+    return result
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: all documents as coded blocks."""
+    """op3: all documents as coded blocks, with their code."""
     return token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -10,12 +10,14 @@ padding (empty places, in tokens) and cut penalties: with S the running token co
 
 where the minimum slides with a monotone queue, so that n sentences take O(n) steps.
 
-The sequence is divided into shards of ``docs_per_shard`` consecutive ids, which are packed
-independently and in parallel: their number grows with the data, their size doesn't.  Only
-sentence lengths are shuffled, never texts.
+The sequence is divided into shards of ``docs_per_shard`` consecutive documents, by their rank
+in the order of doc_id (range partitions with running counts), whatever the ids are.  Shards
+are packed independently and in parallel: their number grows with the data, their size
+doesn't.  The cost is least within each shard; no window crosses a shard's end, which costs
+one part-filled window a shard at most.  Only sentence lengths are shuffled, never texts.
 
 Defined cases: a null or empty text has no tokens and is in no window; rows with a null
-doc_id form a shard of their own, ordered by their lengths; rows that repeat a doc_id follow
+doc_id come first; rows that repeat a doc_id follow
 each other and stay separate spans; of equal costs the cut with the fuller window counts;
 an empty table gives no windows; only doc_id and text are read.
 """
@@ -28,9 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakelog.llm.storage import persist
 from lakelog.llm.text import Words, chunks
 
 CAPACITY = 2048
@@ -102,6 +105,18 @@ def pieces(rows: list[tuple], capacity: int, cut_sentence: float, cut_hard: floa
     return lengths, penalties, of
 
 
+def ranked(sized: DataFrame) -> DataFrame:
+    """(doc_id, lengths, rank): the place of each row in the order of doc_id, nulls first."""
+    tie = F.xxhash64("lengths")
+    ordered = persist(sized, "lengths").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "lengths")
+    # the id's upper bits are the partition, its lower 33 bits the place in it
+    placed = persist(ordered.withColumn("at", F.monotonically_increasing_id()), "placed")
+    placed = placed.select("doc_id", "lengths", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "part").select("doc_id", "lengths", (F.col("before") + F.col("place")).alias("rank"))
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, cut_sentence: float = CUT_SENTENCE, cut_hard: float = CUT_HARD, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """Windows in order: n_tokens, padding, and the spans (doc_id, from_token, to_token) that fill them."""
 
@@ -109,7 +124,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cut_sentence: float = CUT_SE
         rows = [x.tolist() for x in pdf["lengths"]]
         null = pdf["doc_id"].isna().to_numpy()
         ids = [None if z else int(x) for x, z in zip(pdf["doc_id"], null)]
-        order = sorted(range(len(rows)), key=lambda k: (ids[k] or 0, rows[k]))
+        order = sorted(range(len(rows)), key=lambda k: (ids[k] is not None, ids[k] or 0, rows[k]))
         rows, ids = [rows[k] for k in order], [ids[k] for k in order]
         lengths, penalties, of = pieces(rows, capacity, cut_sentence, cut_hard)
         out, begin, used, at = [], 0, 0, -1
@@ -128,7 +143,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cut_sentence: float = CUT_SE
             begin = end
         return pd.DataFrame(out, columns=["shard", "window", "n_tokens", "padding", "spans"])
 
-    sized = sentence_lengths(docs).withColumn("shard", F.expr(f"(doc_id - pmod(doc_id, {docs_per_shard}L)) div {docs_per_shard}L"))
+    sized = ranked(sentence_lengths(docs)).select("doc_id", "lengths", F.expr(f"rank div {docs_per_shard}L").alias("shard"))
     return sized.groupBy("shard").applyInPandas(shard, WINDOWS)
 
 

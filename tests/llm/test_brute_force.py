@@ -233,6 +233,21 @@ def test_shards_are_ordered_and_whole(spark):
         assert own[0][0] == 0 and own[-1][1] == len(words_of(t)) and all(x[1] == y[0] for x, y in zip(own, own[1:]))
 
 
+def test_shards_count_documents_not_ids(spark):
+    docs = [(k, t) for k, t in corpus(16) if words_of(t)]
+    sparse = {k: (k - 40) * 0x0123_4567_89AB_CDEF // 7 for k, _ in docs}
+
+    def windows(rows):
+        got = packing.pack(frame(spark, rows), capacity=200, docs_per_shard=16).orderBy("shard", "window").collect()
+        return [(r.shard, r.window, [(s.doc_id, s.from_token, s.to_token) for s in r.spans]) for r in got]
+
+    dense = windows(docs)
+    assert windows([(sparse[k], t) for k, t in docs]) == [(a, b, [(sparse[d], x, y) for d, x, y in spans]) for a, b, spans in dense]
+    for shard in {a for a, _, _ in dense}:
+        own = [d for a, _, spans in dense if a == shard for d, _, _ in spans]
+        assert len(set(own)) == min(16, len(docs) - 16 * shard)
+
+
 def test_crf_against_enumeration():
     r = np.random.default_rng(0)
     crf = Crf(4)

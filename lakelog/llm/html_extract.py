@@ -5,8 +5,9 @@ has features of its ancestors' tags and classes and of its text; a two-tag CRF (
 not) over the blocks of a page is trained on labelled pages and decoded by Viterbi.
 
 Labelled pages are a bounded sample of ``max_pages`` pages, those of least hash: the blocks
-of a page that are lines of the one document which shares the most lines with it are its
-content (distant supervision from ``documents``).  What is broadcast is bounded by the
+of a page that are lines of the one document which shares the most with it are its content
+(distant supervision from ``documents``).  Shared lines weigh by their inverse document
+frequency; documents with the same lines of the sample, as copies, count as one.  What is broadcast is bounded by the
 sample.
 
 Defined cases: null, empty and tagless html are pages without, or with one, block; broken
@@ -35,8 +36,6 @@ from lakelog.llm.storage import persist
 from lakelog.llm.text import chunks
 
 MAX_PAGES = 600
-#: Lines in more documents than this don't vote for a page's document.
-TELLING = 20
 FEATURES = 1 << 14
 WIDTH = 20
 
@@ -174,13 +173,17 @@ def labelled_pages(pages: DataFrame, docs: DataFrame, max_pages: int = MAX_PAGES
     rows = [(p, k, b.text) for p, x in enumerate(texts) for k, b in enumerate(blocks(x))]
     schema = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("line", T.StringType())])
     sample = spark.createDataFrame(rows, schema).select("page", "block", F.xxhash64("line").alias("h"))
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.xxhash64(F.trim("line")).alias("h"))
-    hits = persist(lines.join(F.broadcast(sample.select("h").distinct()), "h", "left_semi").distinct(), "hits")
-    # lines of many documents don't tell which one a page is of
-    telling = hits.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") <= TELLING)
-    votes = hits.join(F.broadcast(telling.select("h")), "h", "left_semi").join(F.broadcast(sample), "h").groupBy("page", "doc_id").agg(F.count_distinct("block").alias("n"))
-    best = votes.groupBy("page").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"))
-    found = hits.join(F.broadcast(best), "doc_id").join(F.broadcast(sample), ["page", "h"]).select("page", "block").distinct().toArrow()
+    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "t", F.xxhash64(F.trim("line")).alias("h"))
+    hits = lines.join(F.broadcast(sample.select("h").distinct()), "h", "left_semi")
+    # documents with the same lines of the sample give the same labels
+    of_text = hits.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("h")).alias("lines"))
+    sets = persist(of_text.groupBy("lines").agg(F.min("doc_id").alias("doc_id")), "sets").withColumn("set", F.xxhash64("lines"))
+    shared = sets.select("set", "doc_id", F.explode("lines").alias("h"))
+    # whole numbers, so that sums don't depend on their order
+    weight = F.round(F.log(1 + F.lit(float(sets.count())) / F.count("*")) * 1e6).cast("long")
+    votes = shared.join(F.broadcast(shared.groupBy("h").agg(weight.alias("w"))), "h").join(F.broadcast(sample), "h").groupBy("page", "set", "doc_id").agg(F.sum("w").alias("w"))
+    best = votes.groupBy("page").agg(F.max_by("set", F.struct("w", -F.col("doc_id"), "set")).alias("set"))
+    found = shared.join(F.broadcast(best), "set").join(F.broadcast(sample), ["page", "h"]).select("page", "block").distinct().toArrow()
     of: dict[int, list[int]] = {}
     for p, k in zip(found.column("page").to_pylist(), found.column("block").to_pylist()):
         of.setdefault(p, []).append(k)

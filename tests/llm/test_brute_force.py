@@ -324,6 +324,15 @@ def test_html_held_out(spark):
     assert hit / (hit + miss) > 0.95 and hit / (hit + wrong) > 0.95
 
 
+def test_html_labels_with_many_copies(spark):
+    r = random.Random(17)
+    texts = [[sentence(r, 12) for _ in range(5)] for _ in range(4)]
+    docs = [(100 * k + i, "\n".join(x + ["Home"] + ([f"copy {i}"] if i % 2 else []))) for k, x in enumerate(texts) for i in range(30)]
+    pages = [(k, "<nav><li>Menu<li>Home</nav><article>" + "".join(f"<p>{s}</p>" for s in x) + "</article>") for k, x in enumerate(texts)]
+    labelled = html_extract.labelled_pages(spark.createDataFrame(pages, "page_id long, html string"), frame(spark, docs))
+    assert len(labelled) == 4 and all(t.tolist() == [0, 1, 1, 1, 1, 1, 1] for _, t in labelled)
+
+
 def test_warc_finds_just_the_damage(spark):
     r = random.Random(9)
     pages = [(k, f"http://x/{k}", text(r)) for k in range(-50, 9000, 7)]

@@ -161,13 +161,20 @@ def test_lines_beyond_the_broadcast(spark, monkeypatch):
     assert sorted((r.doc_id, r.text) for r in line_dedup.line_dedup(frame(spark, docs)).collect()) == b_lines(docs)
 
 
+def joined(rows):
+    out = {}
+    for r in rows.collect():
+        out.setdefault((r.group_id, r.n_docs), []).append(r.doc_id)
+    assert all(len(ids) == n for (_, n), ids in out.items())
+    return {g: sorted(ids) for (g, _), ids in out.items()}
+
+
 @pytest.mark.parametrize(("n", "threshold"), [(5, 0.5), (3, 0.7), (1, 0.4), (2, 0.9)])
 def test_jaccard(spark, n, threshold):
     r = random.Random(n)
     docs = corpus(n + 10)
     docs += [(1000 + k, " ".join(r.choice("abcdef") for _ in range(r.randint(1, 5)))) for k in range(40)]
-    got = {g.group_id: g.doc_ids for g in jaccard_join.join_groups(frame(spark, docs), n=n, threshold=threshold).collect()}
-    assert got == b_groups(docs, n, threshold)
+    assert joined(jaccard_join.groups(frame(spark, docs), n=n, threshold=threshold)) == b_groups(docs, n, threshold)
 
 
 @pytest.mark.parametrize("x", [0, 6, 32])
@@ -175,8 +182,17 @@ def test_jaccard_at_any_boundary(spark, x, monkeypatch):
     monkeypatch.setattr(jaccard_join, "boundary", lambda *a: x)
     r = random.Random(x)
     docs = [(k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 30)))) for k in range(120)]
-    got = {g.group_id: g.doc_ids for g in jaccard_join.join_groups(frame(spark, docs), n=2, threshold=0.5).collect()}
-    assert got == b_groups(docs, 2, 0.5)
+    assert joined(jaccard_join.groups(frame(spark, docs), n=2, threshold=0.5)) == b_groups(docs, 2, 0.5)
+
+
+def test_jaccard_with_lists_in_parts(spark, monkeypatch):
+    """Hot grams over several buckets, and long lists in several rows, change nothing."""
+    monkeypatch.setattr(jaccard_join, "CELLS", 1 << 10)
+    docs = corpus(11)
+    for k in range(40):
+        docs.append((1000 + k, edited(random.Random(k), docs[0][1] + "\n" + docs[1][1], 0.04)))
+    for hot, part in [(3, 2), (1 << 20, 2), (3, 4096)]:
+        assert joined(jaccard_join.groups(frame(spark, docs), n=2, threshold=0.5, hot=hot, part=part)) == b_groups(docs, 2, 0.5)
 
 
 def test_boundary_follows_cost():

@@ -7,6 +7,12 @@ class LakelogError(Exception):
     stage = "engine"
 
 
+class StorageError(LakelogError):
+    """There is no folder that all executors share."""
+
+    stage = "storage"
+
+
 class ParseError(LakelogError):
     stage = "parse"
 

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lakelog.errors import StorageError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.  Where it is unset, a session in
+    one process (tests) gets a temporary folder; on a cluster it is an error, because a
+    machine's own disk can't be read by the others."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lakelog-")
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            path = found.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            path = "file://" + tempfile.mkdtemp(prefix="lakelog-")
+        else:
+            raise StorageError("spark.checkpoint.dir is unset: the cluster's shared folder is needed")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no plan reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Stored:
     """A relation as Parquet folders that only grow in number: adding rows rewrites nothing,
     and reading it is one scan without lineage."""

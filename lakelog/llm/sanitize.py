@@ -9,17 +9,21 @@ the entity c, n_t with the word t, and n_ct with t within ``WINDOW`` words of c,
 
     disclosure(t, c) = PMI(c; t) / IC(c) = log(n_ct n / (n_c n_t)) / log(n / n_c)
 
-which is 1 if t always means c and about 0 if it says nothing.  A pair must be seen in
-``SUPPORT`` different contexts to be estimated at all; rows that are copies of each other
-are one context.  In documents with c, words with a disclosure of ``GENERALISE`` or more
-become ``<TERM>``, of ``REMOVE`` or more are removed.
+which is 1 if t always means c and about 0 if it says nothing.  Near are the ``WINDOW``
+words before and after an entity that belong to no entity themselves, however far away.
+All four counts are of different texts, so that copies and repeated rows count once.  A
+pair must be seen in ``SUPPORT`` different contexts to be estimated at all.  In documents
+with c, words with a disclosure of ``GENERALISE`` or more become ``<TERM>``, of ``REMOVE``
+or more are removed.
 
 All counts are over all documents: one scan finds entities and the words near them, one
-counts the documents of the words that may be revealing, one rewrites.  The revealing pairs
-are broadcast up to ``BROADCAST_PAIRS``, and joined to their documents beyond that.
+counts the texts of the words that may be revealing, one rewrites.  The revealing pairs
+are broadcast up to ``BROADCAST_PAIRS`` and a number of bytes, and joined to their
+documents beyond that.
 
 Defined cases: null texts stay null and empty ones empty; a document without entities comes
-out unchanged; null doc_ids and repeated rows pass, each row for itself; an entity that
+out unchanged; words are compared in lower case, character by character, and replaced where
+they stand in the text itself, also where lower case would be longer (as of "İ"); null doc_ids and repeated rows pass, each row for itself; an entity that
 every document has has no information and reveals nothing but itself; only doc_id and text
 are read.
 """
@@ -27,12 +31,15 @@ are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelog.llm.storage import persist, small
@@ -44,11 +51,12 @@ GENERALISE = 0.5
 REMOVE = 0.8
 BROADCAST_PAIRS = 100_000
 BITS = 24
+TEXT_BITS = 26
 
 #: What every entity has some of: a text without it is passed over, with it all patterns decide.
 _HINT = re.compile(r"[\d@=:]|A[KS]IA|[a-f]{32}")
 _MAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[\w.+%-]+\Z")
+_LOCAL = re.compile(r"[\w.+%-]+")
 _NUMBER = re.compile(r"(?<![\w.])\+?\(?\d[\d ().\-]{5,}\d(?!\w)")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _SOLID = re.compile(rf"(?<![\d.]){_IP.pattern}(?![\d.]*\d)|(?<!\d)\d{{13,19}}(?!\d)")
@@ -63,7 +71,7 @@ _PLAIN = re.compile(
 )
 _KEY = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b[0-9a-f]{32,}\b")
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([^\s\"']{6,})[\"']?")
-_WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 OUT = "doc_id long, text string, n_entities int, n_generalised int, n_removed int"
 
@@ -75,9 +83,10 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "@" in text:
         for m in _MAIL.finditer(text):
-            local = _LOCAL.search(text, max(0, m.start() - 64), m.start())
+            # what stands before the sign, backwards as far as the sign before
+            local = _LOCAL.match(text[text.rfind("@", 0, m.start()) + 1 : m.start()][::-1])
             if local:
-                found.append((local.start(), m.end(), "EMAIL"))
+                found.append((m.start() - local.end(), m.end(), "EMAIL"))
     for m in _SECRET.finditer(text):
         found.append((m.start(1), m.end(1), "SECRET"))
     for m in _KEY.finditer(text):
@@ -135,66 +144,104 @@ def _id(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode()) - (1 << 63)
 
 
-def _near(low: str, spans: list[tuple[int, int, str]], window: int) -> list[list[str]]:
-    """For each entity the words within the window, without those of entities."""
+@lru_cache(maxsize=1 << 16)
+def _fold(word: str) -> str:
+    """A word in lower case, character by character, as ``Words`` has it."""
+    return word.lower() if word.isascii() else pc.utf8_lower(pa.scalar(word)).as_py()
+
+
+def _terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, word) of the words that touch no entity."""
+    ends = [b for _, b, _ in spans]
     out = []
-    for k, (a, b, _) in enumerate(spans):
-        left = _WORD.findall(low, max(0, a - 40 * window), a)
-        right = _WORD.findall(low, b, b + 40 * window)
-        inside = {w for x, y, _ in spans[max(0, k - 3) : k + 4] for w in _WORD.findall(low, x, y)}
-        out.append([w for w in left[-window:] + right[:window] if w not in inside])
+    for m in _WORD.finditer(text):
+        k = bisect_left(ends, m.start() + 1)
+        if k == len(spans) or spans[k][0] >= m.end():
+            out.append((m.start(), m.end(), _fold(m.group())))
     return out
 
 
+def _near(text: str, spans: list[tuple[int, int, str]], window: int) -> list[list[str]]:
+    """For each entity the words within the window."""
+    terms = _terms(text, spans)
+    starts = [a for a, _, _ in terms]
+    at = [bisect_left(starts, a) for a, _, _ in spans]
+    return [[w for _, _, w in terms[max(0, k - window) : k + window]] for k in at]
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text")
+
+
 def near_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, entity, context, word): the words near each entity of each document."""
+    """(th, entity, context, word): the words near each entity of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             rows: list[tuple[int, int, int, str]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans = entities(text or "")
                 if spans:
-                    for (a, b, _), words in zip(spans, _near(text.lower(), spans, window)):
+                    for (a, b, _), words in zip(spans, _near(text, spans, window)):
                         entity, context = _id(text[a:b].lower()), _id(" ".join(words))
-                        rows += [(doc, entity, context, w) for w in set(words)] or [(doc, entity, context, "")]
+                        rows += [(th, entity, context, w) for w in set(words)] or [(th, entity, context, "")]
             cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc", "entity", "context", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["th", "entity", "context", "word"])
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("doc"), "text").mapInArrow(run, "doc long, entity long, context long, word string")
+    return docs.select(_text_hash().alias("th"), "text").mapInArrow(run, "th long, entity long, context long, word string")
 
 
-def word_documents(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, n_t): how many documents have each of the words; all documents are counted.
-    A bitmap of fixed size thins the scan out, a join decides."""
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The lower bits of the column h, of fixed size; never more than 2**(bits - 6) rows reach the driver."""
+    mask = (1 << bits) - 1
+    at = F.shiftright(F.col("h").bitwiseAND(F.lit(mask)), 6)
+    table = hashes.groupBy(at.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(h & {mask} & 63 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
+def word_texts(docs: DataFrame, words: DataFrame, copied: DataFrame) -> DataFrame:
+    """(word, n_t): how many different texts have each of the words; all are counted.
+    ``copied``: hashes h of the texts that occur more than once.  Bitmaps of fixed size thin
+    out: rows that may be copies are told apart by their text's hash, others are counted at once."""
     keyed = _hashed(words)
-    at = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1))
-    table = keyed.groupBy(F.shiftright(at, 3).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1, CAST(h & {(1 << BITS) - 1} & 7 AS INT))")).alias("b")).toArrow()
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    bits[table.column("w").to_numpy()] = table.column("b").to_numpy()
-    known = docs.sparkSession.sparkContext.broadcast(bits)
+    known = docs.sparkSession.sparkContext.broadcast((_bitmap(keyed, BITS), _bitmap(copied, TEXT_BITS)))
+
+    def has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+        p = (h & U(8 * len(table) - 1)).astype(np.int64)
+        return (table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
+    def rows(h, th, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(th, pa.int64()), pa.array(n, pa.int64())], ["h", "th", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
-        seen = known.value
+        seen, copies = known.value
         for batch in chunks(batches):
-            words = Words(batch.column(0))
-            p = (words.hashes & U((1 << BITS) - 1)).astype(np.int64)
-            hit = np.flatnonzero((seen[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+            words = Words(batch.column(1))
+            th = batch.column(0).to_numpy()
+            hit = np.flatnonzero(has(seen, words.hashes))
             of, h = words.text_of()[hit], words.hashes[hit]
             by = np.lexsort((of, h))
             of, h = of[by], h[by]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-            for k, c in zip(*(x.tolist() for x in np.unique(h[new].view(np.int64), return_counts=True))):
+            of, h = of[new], h[new].view(np.int64)
+            again = has(copies, th.view(np.uint64))[of]
+            if again.any():
+                yield rows(h[again], th[of[again]], np.ones(again.sum(), np.int64))
+            for k, c in zip(*(x.tolist() for x in np.unique(h[~again], return_counts=True))):
                 total[k] = total.get(k, 0) + c
             if len(total) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["h", "n"])
+                yield rows(list(total), [None] * len(total), list(total.values()))
                 total = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["h", "n"])
+        yield rows(list(total), [None] * len(total), list(total.values()))
 
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t"))
-    return keyed.join(found, "h").select("word", "n_t")
+    found = docs.select(_text_hash().alias("th"), "text").mapInArrow(run, "h long, th long, n long")
+    each = found.groupBy("h", "th").agg(F.sum("n").alias("n"))
+    counted = each.groupBy("h").agg(F.sum(F.when(F.col("th").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+    return keyed.join(counted, "h").select("word", "n_t")
 
 
 def _hashed(words: DataFrame) -> DataFrame:
@@ -214,37 +261,27 @@ def _hashed(words: DataFrame) -> DataFrame:
 
 def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(entity, word, disclosure) of the pairs that reach ``least``."""
-    n = docs.count()
-    pairs = near.filter("word <> ''").groupBy("entity", "word").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("n_ct"))
+    texts = persist(docs.groupBy(_text_hash().alias("h")).count(), "texts")
+    n = texts.count()
+    pairs = near.filter("word <> ''").groupBy("entity", "word").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("th").alias("n_ct"))
     pairs = persist(pairs.filter(F.col("contexts") >= support), "pairs")
-    n_c = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_c"))
-    counted = pairs.join(n_c, "entity").join(word_documents(docs, pairs.select("word").distinct()), "word")
+    n_c = near.groupBy("entity").agg(F.count_distinct("th").alias("n_c"))
+    counted = pairs.join(n_c, "entity").join(word_texts(docs, pairs.select("word").distinct(), texts.filter("count > 1")), "word")
     value = F.log(F.col("n_ct") * F.lit(float(n)) / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_c"))
     return counted.filter(F.col("n_c") < n).select("entity", "word", value.alias("disclosure")).filter(F.col("disclosure") >= least)
 
 
 def rewrite(text: str, spans: list[tuple[int, int, str]], terms: dict[str, float], remove: float) -> tuple[str, int, int]:
     """The text with entities replaced, and revealing terms generalised or removed; how many of both."""
-    out, at, low = [], 0, text.lower()
-    general = gone = 0
     edits = [(a, b, f"<{c}>") for a, b, c in spans]
     if terms:
-        inside = iter([*spans, (len(text) + 1, len(text) + 1, "")])
-        span = next(inside)
-        for m in _WORD.finditer(low):
-            while span[1] <= m.start():
-                span = next(inside)
-            if m.group() in terms and m.end() <= span[0]:
-                if terms[m.group()] >= remove:
-                    gone += 1
-                    edits.append((m.start(), m.end(), ""))
-                else:
-                    general += 1
-                    edits.append((m.start(), m.end(), "<TERM>"))
+        edits += [(a, b, "" if terms[w] >= remove else "<TERM>") for a, b, w in _terms(text, spans) if w in terms]
         edits.sort()
+    out, at = [], 0
     for a, b, new in edits:
         out += [text[at:a], new]
         at = b
+    general, gone = (sum(new == kind for _, _, new in edits) for kind in ("<TERM>", ""))
     return "".join([*out, text[at:]]), general, gone
 
 
@@ -254,7 +291,7 @@ def sanitize(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, gene
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     near = persist(near_words(docs, window), "near")
     found = persist(disclosures(docs, near, support, generalise), "disclosures")
-    if small(found, BROADCAST_PAIRS):
+    if small(found, BROADCAST_PAIRS, F.octet_length("word") + 16):
         table: dict[int, dict[str, float]] = {}
         for r in found.collect():
             table.setdefault(r.entity, {})[r.word] = r.disclosure
@@ -262,10 +299,9 @@ def sanitize(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, gene
         rows = docs.withColumn("terms", F.lit(None).cast("map<string,double>"))
     else:
         known = spark.sparkContext.broadcast({})
-        per = near.select("doc", "entity").distinct().join(found, "entity").groupBy("doc", "word").agg(F.max("disclosure").alias("d"))
-        per = per.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("word", "d"))).alias("terms"))
-        keyed = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
-        rows = keyed.join(per, "doc", "left").select("doc_id", "text", "terms")
+        per = near.select("th", "entity").distinct().join(found, "entity").groupBy("th", "word").agg(F.max("disclosure").alias("d"))
+        per = per.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("word", "d"))).alias("terms"))
+        rows = docs.withColumn("th", _text_hash()).join(per, "th", "left").select("doc_id", "text", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

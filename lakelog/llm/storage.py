@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lakelog.operators.materialize import remove, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="lakelog-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["new_path", "persist", "remove", "shared_dir", "small"]
+
+#: Bytes that are broadcast at most, where their number depends on the data.
+BROADCAST_BYTES = 32 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -34,13 +31,9 @@ def persist(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate folder that no plan reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def small(df: DataFrame, most_rows: int) -> bool:
-    """Whether ``df`` has at most ``most_rows`` rows; reads no more than that."""
-    return df.limit(most_rows + 1).count() <= most_rows
+def small(df: DataFrame, most_rows: int, size: Column | None = None, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``most_rows`` rows, and at most ``most_bytes`` by the ``size`` of
+    a row; reads no more rows than that."""
+    size = F.lit(0) if size is None else size
+    found = df.limit(most_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found.n <= most_rows and found.bytes <= most_bytes

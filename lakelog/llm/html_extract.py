@@ -1,18 +1,20 @@
 """Main text of web pages: a linear-chain CRF over the DOM's leaf blocks.
 
 A page is read into its leaf blocks, the texts between block-level tags, in order.  Each
-has features of its ancestors' tags and classes and of its text; a two-tag CRF (content or
-not) over the blocks of a page is trained on labelled pages and decoded by Viterbi.
+has features of its text and of its ancestors: their different tags and classes, innermost
+first, as far as ``WIDTH`` features reach.  A two-tag CRF (content or not) over the blocks of
+a page is trained on labelled pages and decoded by Viterbi.
 
 Labelled pages are a bounded sample of ``max_pages`` pages, those of least hash: the blocks
 of a page that are lines of the one document which shares the most with it are its content
 (distant supervision from ``documents``).  Shared lines weigh by their inverse document
-frequency; documents with the same lines of the sample, as copies, count as one.  What is broadcast is bounded by the
-sample.
+frequency; documents with the same lines of the sample, as copies, count as one.  The sample's
+lines are broadcast up to ``BROADCAST_LINES``, and joined by shuffle beyond that.
 
 Defined cases: null, empty and tagless html are pages without, or with one, block; broken
 markup never fails: an unclosed comment, script or tag ends the page, end tags without a
-start are ignored; text is cut into blocks in one pass, so long pages take linear time;
+start are ignored; text is cut into blocks in one pass and ancestors are kept as shared
+tuples of bounded length, so long and deep pages take linear time;
 null page_ids and repeated rows pass, each row for itself; without labelled pages nothing
 is content; only page_id and html, and doc_id and text of the documents, are read.
 """
@@ -37,7 +39,10 @@ from lakelog.llm.text import chunks
 
 MAX_PAGES = 600
 FEATURES = 1 << 14
-WIDTH = 20
+WIDTH = 32
+#: Different ancestors' tags, and classes, of a block that can be features.
+TAGS, CLASSES = 15, 8
+BROADCAST_LINES = 200_000
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _CLASS = re.compile(r"""(?:class|id|role)\s*=\s*["']?([\w-]+)""")
@@ -58,19 +63,36 @@ class Block:
         self.text, self.tags, self.classes, self.linked = text, tags, classes, linked
 
 
+def _with(near: tuple[str, ...], name: str, most: int) -> tuple[str, ...]:
+    """``name`` before the other ones of ``near``."""
+    return (name, *[x for x in near if x != name])[:most] if name else near
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order; blank ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    # open tags: name, and the different tags and classes from here outwards
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [("", (), ())]
+    open_: dict[str, int] = {}
     parts: list[str] = []
     linked = 0
 
+    def push(tag: str, name: str = "") -> None:
+        _, tags, classes = stack[-1]
+        stack.append((tag, tags if tag in _INLINE else _with(tags, tag, TAGS), _with(classes, name, CLASSES)))
+        open_[tag] = open_.get(tag, 0) + 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        return tag
+
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _BLANKS.sub(" ", _html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack if t not in _INLINE), tuple(c for _, c in stack if c), linked))
+                out.append(Block(text, *stack[-1][1:], linked))
             parts.clear()
         linked = 0
 
@@ -81,7 +103,7 @@ def blocks(page: str) -> list[Block]:
             i = n
         if i > at:
             parts.append(page[at:i])
-            if any(t == "a" for t, _ in stack[-3:]):
+            if open_.get("a"):
                 linked += i - at
         if i == n:
             break
@@ -110,23 +132,23 @@ def blocks(page: str) -> list[Block]:
             continue
         elif tag in _INLINE:
             if not close:
-                stack.append((tag, ""))
-            elif stack and stack[-1][0] == tag:
-                stack.pop()
+                push(tag)
+            elif stack[-1][0] == tag:
+                pop()
         else:
             flush()
-            while stack and stack[-1][0] in _INLINE:
-                stack.pop()
+            while stack[-1][0] in _INLINE:
+                pop()
             if close:
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
+                if open_.get(tag):
+                    while pop() != tag:
                         pass
             else:
-                if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in _SELF_CLOSING):
-                    stack.pop()
+                if stack[-1][0] == "p" or stack[-1][0] == tag and tag in _SELF_CLOSING:
+                    pop()
                 if not rest.endswith("/"):
                     found = _CLASS.search(rest)
-                    stack.append((tag, found.group(1).lower() if found else ""))
+                    push(tag, found.group(1).lower() if found else "")
     flush()
     return out
 
@@ -142,7 +164,7 @@ def features(page: list[Block]) -> np.ndarray:
     before = ""
     for k, b in enumerate(page):
         words = b.text.count(" ") + 1
-        parent = b.tags[-1] if b.tags else "-"
+        parent = b.tags[0] if b.tags else "-"
         names = [
             f"parent {parent}",
             f"before {before}",
@@ -153,8 +175,8 @@ def features(page: list[Block]) -> np.ndarray:
             f"mark {any(c in b.text for c in '©|»·')}",
             f"commas {min(b.text.count(','), 3)}",
             f"place {10 * k // len(page)}",
-            *[f"within {t}" for t in dict.fromkeys(b.tags[-6:])],
-            *[f"class {c}" for c in b.classes[-3:]],
+            *[f"within {t}" for t in b.tags],
+            *[f"class {c}" for c in b.classes],
         ]
         out[k, : min(len(names), WIDTH)] = [_index(x) for x in names[:WIDTH]]
         before = parent
@@ -174,16 +196,18 @@ def labelled_pages(pages: DataFrame, docs: DataFrame, max_pages: int = MAX_PAGES
     schema = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("line", T.StringType())])
     sample = spark.createDataFrame(rows, schema).select("page", "block", F.xxhash64("line").alias("h"))
     lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "t", F.xxhash64(F.trim("line")).alias("h"))
-    hits = lines.join(F.broadcast(sample.select("h").distinct()), "h", "left_semi")
+    few = len(rows) <= BROADCAST_LINES
+    at_hand = F.broadcast if few else (lambda df: df)
+    hits = lines.join(at_hand(sample.select("h").distinct()), "h", "left_semi")
     # documents with the same lines of the sample give the same labels
     of_text = hits.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("h")).alias("lines"))
     sets = persist(of_text.groupBy("lines").agg(F.min("doc_id").alias("doc_id")), "sets").withColumn("set", F.xxhash64("lines"))
     shared = sets.select("set", "doc_id", F.explode("lines").alias("h"))
     # whole numbers, so that sums don't depend on their order
     weight = F.round(F.log(1 + F.lit(float(sets.count())) / F.count("*")) * 1e6).cast("long")
-    votes = shared.join(F.broadcast(shared.groupBy("h").agg(weight.alias("w"))), "h").join(F.broadcast(sample), "h").groupBy("page", "set", "doc_id").agg(F.sum("w").alias("w"))
+    votes = shared.join(at_hand(shared.groupBy("h").agg(weight.alias("w"))), "h").join(at_hand(sample), "h").groupBy("page", "set", "doc_id").agg(F.sum("w").alias("w"))
     best = votes.groupBy("page").agg(F.max_by("set", F.struct("w", -F.col("doc_id"), "set")).alias("set"))
-    found = shared.join(F.broadcast(best), "set").join(F.broadcast(sample), ["page", "h"]).select("page", "block").distinct().toArrow()
+    found = shared.join(F.broadcast(best), "set").join(at_hand(sample), ["page", "h"]).select("page", "block").distinct().toArrow()
     of: dict[int, list[int]] = {}
     for p, k in zip(found.column("page").to_pylist(), found.column("block").to_pylist()):
         of.setdefault(p, []).append(k)

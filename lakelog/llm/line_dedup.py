@@ -4,7 +4,9 @@ The hashes of seen lines live in runs: tables bucketed and sorted by hash, in th
 folder.  A batch of documents is reduced to its distinct line hashes, merge-anti-joined
 with every run (both sides bucketed alike, so that no run is shuffled again), and what is
 new becomes a run of level 0.  ``fanout`` runs of one level are compacted into one run of
-the next, so that a batch meets at most ``(fanout - 1) * log(batches)`` runs.
+the next, so that a batch meets at most ``(fanout - 1) * log(batches)`` runs.  Runs given by
+the caller (``runs``) are added to and stay, for the corpora that follow; what is found to
+be repeated then includes lines of the corpora before.
 
 The first occurrence of a line by (batch, doc_id, place in the text) stays; batches are
 ranges of doc_id, so the order is that of doc_id.  Lines are compared without outer
@@ -21,6 +23,7 @@ result; further columns are never read by ``line_dedup`` and are passed by
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,8 @@ from lakelog.llm.storage import new_path, persist, remove, small
 MIN_CHARS = 16
 BATCHES = 4
 FANOUT = 2
-#: Documents with lines to drop that are broadcast; beyond it the texts are shuffled to them.
+#: Documents with lines to drop that are broadcast, if their bytes are few as well; beyond it
+#: the texts are shuffled to them.
 BROADCAST_DOCUMENTS = 500_000
 HASH = ["h1", "h2"]
 
@@ -42,6 +46,8 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, str]]] = []
+        # a bucket is one file, sorted: scans needn't sort it again
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _write(self, df: DataFrame) -> tuple[str, str]:
         name, path = f"lakelog_run_{uuid.uuid4().hex}", new_path(self.spark, "run")
@@ -90,7 +96,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.select("doc_id", "th", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(0x5EED), line).alias("h2"))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, runs: LineRuns | None = None) -> DataFrame:
     """(doc_id, th, drops): places of the lines that occurred before, of each document with any."""
     spark = docs.sparkSession
     ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
@@ -101,29 +107,31 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     for bound in bounds:
         batch = batch + F.when(F.col("doc_id") >= F.lit(bound), 1).otherwise(0)
     lines = persist(_lines(docs, min_chars).withColumn("batch", batch), "lines", partition_by="batch")
-    runs = LineRuns(spark, fanout)
+    own = runs or LineRuns(spark, fanout)
     for k in range(batches):
-        runs.add(lines.filter(F.col("batch") == k))
-    seen = runs.tables()
-    first = seen[0]
-    for run in seen[1:]:
-        first = first.unionByName(run)
-    first = first.select(*HASH, F.struct(F.col("doc_id"), F.col("th"), F.col("pos")).alias("first"))
-    late = lines.join(first.hint("merge"), HASH).filter(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
-    drops = persist(late.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops")), "drops")
-    runs.close()
+        own.add(lines.filter(F.col("batch") == k))
+    # each run by its buckets: runs aren't shuffled, and the lines once for all of them
+    late = []
+    for run in own.tables():
+        first = run.select(*HASH, F.struct(F.col("doc_id"), F.col("th"), F.col("pos")).alias("first"))
+        late.append(lines.join(first.hint("merge"), HASH).filter(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first"))).select("doc_id", "th", "pos"))
+    drops = persist(reduce(DataFrame.union, late).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops")), "drops")
+    if runs is None:
+        own.close()
     return drops
 
 
-def drop_seen_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, counts: bool = False) -> DataFrame:
+def drop_seen_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, counts: bool = False, runs: LineRuns | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; with ``counts``, also n_lines and n_dropped."""
     narrow = docs.select("doc_id", "text")
-    drops = dropped_lines(narrow, min_chars, batches, fanout)
+    drops = dropped_lines(narrow, min_chars, batches, fanout, runs)
     own_id, own_hash, gone = drops["doc_id"], drops["th"], drops["drops"]
-    drops = F.broadcast(drops) if small(drops, BROADCAST_DOCUMENTS) else drops
+    drops = F.broadcast(drops) if small(drops, BROADCAST_DOCUMENTS, F.size("drops") * 4 + 40) else drops
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(own_id) & (F.xxhash64(docs["text"]) == own_hash), "left")
     lines = F.split(docs["text"], "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    # a long text may lose many lines: which ones stay is found by one hash set, and the text is cut once
+    kept = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone)
+    rest = F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept(x), lambda i: F.get(x, i)), "\n"))[0]
     text = F.when(gone.isNull(), docs["text"]).otherwise(rest)
     out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
     if counts:

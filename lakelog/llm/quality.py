@@ -22,7 +22,7 @@ STOP_WORDS = sorted(
 #: (name, measure, least, most, from_words): documents outside [least, most] are rejected.
 RULES: list[tuple[str, str, float | None, float | None, int]] = [
     ("length", "n_chars", 1, None, 0),
-    ("words", "n_words", 2, None, 0),
+    ("words", "n_words", 1, None, 0),
     ("word_length", "mean_word", 1.5, 40.0, 10),
     ("symbols", "symbol_ratio", None, 0.06, 0),
     ("capitals", "upper_ratio", None, 0.4, 10),

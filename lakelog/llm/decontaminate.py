@@ -12,8 +12,9 @@ size, two probes; it only saves work, the join decides), and texts leave the sca
 short regions around possible hits.  Everything behind that is a Spark join of small rows.
 
 Defined cases: null or empty texts and benchmark items have no tokens and never match;
-items or texts with fewer tokens than a mask spans can't be hit by it (the shortest mask
-spans 6); rows with a null doc_id or item_id are left out of the report, and so kept by
+items or texts with fewer tokens than a mask spans can't be hit by it: items of up to 5
+tokens never match, as too common to tell; those of 6 and 7 have masks of their own, so that
+one substitution at any place is found; rows with a null doc_id or item_id are left out of the report, and so kept by
 ``drop_leaks``; repeated rows give one pair; of equal best windows the first counts; empty
 tables give an empty result; only doc_id, text, item_id and text are read.
 """
@@ -32,13 +33,16 @@ from lakelog.llm.text import SQL_SPLIT, U, Words, chunks, longs, mix
 
 #: Weight 5 of span 6, 8 and 9 (1: the position counts).
 MASKS = ("110111", "11010011", "101100101")
+#: For items of 6 and 7 tokens: every mask of span 6 with one position left out.
+SHORT_MASKS = ("011111", "101111", "111011", "111101", "111110")
+SHORT = (6, 7)
 WINDOW = 12
 SHARE = 0.8
 BITS = 23
 #: Seeds of a benchmark that are broadcast; more are joined by shuffle.
 BROADCAST_SEEDS = 500_000
 
-_SEEDS = "item_id long, ipos int, seed long"
+_SEEDS = "item_id long, ipos int, seed long, mask int"
 _REGIONS = "doc_id long, start int, tokens array<long>, hits array<struct<pos:int,seed:long>>"
 
 
@@ -60,16 +64,20 @@ def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def benchmark_seeds(benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """(item_id, ipos, seed) of every window of every item, for every mask."""
+    """(item_id, ipos, seed, mask) of every window of every item, for every mask; ``SHORT_MASKS``
+    follow the other ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = Words(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             of = words.text_of()
-            for k, mask in enumerate(masks):
+            short = np.isin(np.diff(words.first), SHORT)
+            for k, mask in enumerate((*masks, *SHORT_MASKS)):
                 at, h = _seeds(words, mask, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of[at]], pa.int64()), pa.array(at - words.first[of[at]], pa.int32()), longs(h)], ["item_id", "ipos", "seed"])
+                if k >= len(masks):
+                    at, h = at[short[of[at]]], h[short[of[at]]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of[at]], pa.int64()), pa.array(at - words.first[of[at]], pa.int32()), longs(h), pa.array(np.full(len(at), k), pa.int32())], ["item_id", "ipos", "seed", "mask"])
 
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL")
     return items.mapInArrow(run, _SEEDS)
@@ -87,9 +95,9 @@ def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _regions(docs: DataFrame, bitmap, masks: tuple[str, ...], bits: int, margin: int) -> DataFrame:
+def _regions(docs: DataFrame, bitmap, masks: dict[int, str], bits: int, margin: int) -> DataFrame:
     """Regions of texts around windows whose seed is in the bitmap, with their hits."""
-    longest = max(map(len, masks))
+    longest = max(map(len, masks.values()), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bitmap.value
@@ -100,8 +108,8 @@ def _regions(docs: DataFrame, bitmap, masks: tuple[str, ...], bits: int, margin:
         for batch in chunks(batches):
             words = Words(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found_at, found_h = [], []
-            for k, mask in enumerate(masks):
+            found_at, found_h = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for k, mask in masks.items():
                 at, h = _seeds(words, mask, k)
                 p1, p2 = _probes(h, bits)
                 hit = np.flatnonzero(has(p1))
@@ -176,7 +184,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     spark = docs.sparkSession
     seeds = persist(benchmark_seeds(benchmark, masks), "seeds")
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds, bits))
-    regions = persist(_regions(docs, bitmap, masks, bits, window), "regions").withColumn("region", F.xxhash64("doc_id", "start", "tokens"))
+    of = dict(enumerate((*masks, *SHORT_MASKS)))
+    used = {r["mask"]: of[r["mask"]] for r in seeds.select("mask").distinct().collect()}
+    regions = persist(_regions(docs, bitmap, used, bits, window), "regions").withColumn("region", F.xxhash64("doc_id", "start", "tokens"))
     hits = regions.select("region", F.inline("hits"))
     if small(seeds, BROADCAST_SEEDS):
         seeds = F.broadcast(seeds)
@@ -200,9 +210,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     words = f"list_filter(string_split_regex(lower(text), '{SQL_SPLIT}'), lambda w: w <> '')"
     keys = []
-    for m in MASKS:
+    for m in (*MASKS, *SHORT_MASKS):
         picked = " || ' ' || ".join(f"w[p + {j}]" for j, c in enumerate(m) if c == "1")
-        keys.append(f"SELECT {{id}}, p, '{m} ' || {picked} AS k FROM {{t}}p WHERE p + {len(m) - 1} <= len(w)")
+        short = f" AND ('{{t}}' = 'd' OR len(w) IN {SHORT})" if m in SHORT_MASKS else ""
+        keys.append(f"SELECT {{id}}, p, '{m} ' || {picked} AS k FROM {{t}}p WHERE p + {len(m) - 1} <= len(w){short}")
     both = " UNION ALL ".join(keys)
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),

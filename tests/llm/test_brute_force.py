@@ -319,7 +319,7 @@ def test_toxicity_held_out(spark):
 
 def test_html_blocks():
     page = "<html><head><title>T &amp; t</title><script>var x='<p>';</script></head><body><nav><ul><li><a href=x>Home</a><li>B</ul></nav><!-- <p>no</p> --><article class='main'><p><b>One<br>two</b><p>three <i>four</i></p>1 < 2</article></body></html>"
-    got = [(b.text, b.tags[-1], b.linked > 0) for b in html_extract.blocks(page)]
+    got = [(b.text, b.tags[0], b.linked > 0) for b in html_extract.blocks(page)]
     assert got == [("T & t", "title", False), ("Home", "li", True), ("B", "li", False), ("One two", "p", False), ("three four", "p", False), ("1 < 2", "article", False)]
     assert html_extract.blocks(page)[3].classes == ("main",)
     for broken in ("<", "<!--", "<p", "<script>", "</p></p>", "<p>a</div>b", "<" * 50, "&#xZZ; &nope; &amp", "<a <b>x"):
@@ -561,3 +561,46 @@ def test_pipeline(spark, tmp_path):
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).columns == df.columns
+
+
+def test_html_of_any_depth():
+    """Links at any distance, and deep pages in linear time."""
+    (b,) = html_extract.blocks("<p><a href=x><b><i><em><span>inner</span></em></i></b></a></p>")
+    assert b.linked == len("inner") and b.tags == ("p",)
+    n = 100_000
+    page = "".join(f"<div class=c{k % 7}>x</em>" for k in range(n)) + "</section>" * n
+    import time
+
+    began = time.process_time()
+    found = html_extract.blocks(page)
+    assert len(found) == n and found[-1].tags == ("div",) and len(found[-1].classes) == 7
+    assert time.process_time() - began < 20
+
+
+def test_line_runs_stay_for_the_next_corpus(spark):
+    first = [(1, "a line that is long enough\nand another one, also long"), (2, "a line that is long enough")]
+    second = [(3, "and another one, also long\nthis one is new and long"), (4, "this one is new and long")]
+    runs = line_dedup.LineRuns(spark, buckets=3)
+    for docs, want in [(first, {1: first[0][1], 2: ""}), (second, {3: "this one is new and long", 4: ""})]:
+        got = line_dedup.drop_seen_lines(frame(spark, docs), runs=runs)
+        assert {r.doc_id: r.text for r in got.collect()} == want
+    runs.close()
+
+
+def test_long_text_that_loses_most_lines(spark):
+    long = "\n".join(f"line number {k % 50} of this text" for k in range(40_000))
+    got = line_dedup.line_dedup(frame(spark, [(1, long)])).collect()
+    assert got[0].text.count("\n") == 49 and got[0].n_dropped == 40_000 - 50
+
+
+def test_short_items_with_one_substitution(spark):
+    """Items of 6 and 7 tokens, one of them replaced at any place."""
+    r = random.Random(3)
+    items = [(k, " ".join(sentence(r, 1)[:-1] + str(k) for _ in range(n))) for k, n in enumerate([6, 7])]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        for p in range(len(w)):
+            docs.append((len(docs), f"{sentence(r, 9)} {' '.join(w[:p] + ['other'] + w[p + 1:])} {sentence(r, 9)}"))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, 0 if i < 6 else 1) for i, _ in docs} == b_leaks(docs, items)

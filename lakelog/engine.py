@@ -13,6 +13,9 @@
 
 Relations are DataFrames with columns c0, c1, ..., without duplicates and nulls.  While all
 facts were asserted one by one and are few, evaluation stays in Python (``local_rows``).
+
+On Spark the first run evaluates everything; later ones start from what was asserted since
+(``fixpoint.run``), so that plans don't grow with the number of runs.
 """
 
 from __future__ import annotations
@@ -20,23 +23,32 @@ from __future__ import annotations
 import copy
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelog.errors import Arity, ColumnType, ExprFault, LakelogError, SchemaError, UnknownRelation
 from lakelog.functions.exprs import SPARK_TYPES, compile_expr, literal, wrapping
 from lakelog.operators import fixpoint, local
 from lakelog.operators.body import Body
+from lakelog.operators.fixpoint import Kept
+from lakelog.operators.materialize import Stored
 from lakelog.plans.check import check_query, warnings
 from lakelog.plans.ir import BOOL, INT, ConjunctiveQuery, Program, Relation, Value, type_of
 from lakelog.plans.parser import parse_program, parse_query
 from lakelog.plans.stratify import stratify
-from lakelog.plans.typing_ import check_program, infer
+from lakelog.plans.typing_ import check_aggregates, check_program, infer
+from lakelog.store import FactStore
 
 DEFAULT_CAP = 10_000
-MAX_ITERATIONS = 1_000
+MAX_ITERATIONS = 1_000_000
 LOCAL_ROWS = 200_000
+#: Caps up to this one end the evaluation early, in one task; beyond it all solutions are counted.
+LIMIT_ROWS = 1_000_000
+
+_WHY = "array<struct<relation:string,values:array<struct<type:string,value:string>>>>"
 
 Support = tuple[tuple[str, tuple[Value, ...]], ...]
 
@@ -56,6 +68,12 @@ class Derivation:
     support: Support
 
 
+class Explanation(list):
+    """Derivations, sorted; ``truncated`` if the cap cut some off."""
+
+    truncated = False
+
+
 class QueryResult:
     """Distinct rows of a query (columns o0, o1, ...), each with its justifications, and
     whether the cap cut solutions off."""
@@ -141,15 +159,23 @@ def _support(s) -> Support:
     return tuple((a.relation, tuple(read[v.type](v.value) for v in a["values"])) for a in s)
 
 
-class Engine:
+class Engine(FactStore):
     def __init__(self, spark: SparkSession, program: Program, local_rows: int = LOCAL_ROWS, max_iterations: int = MAX_ITERATIONS):
         check_program(program)
         self.spark, self.program = spark, program
         self.strata = stratify(program)
         self.local_rows, self.max_iterations = local_rows, max_iterations
         self._tables: dict[str, local.Table] | None = {n: local.Table(r) for n, r in program.relations.items()} if local_rows else None
-        self._db: dict[str, DataFrame] = {} if local_rows else self._empty()
+        self._start()
+
+    def _start(self) -> None:
+        """No facts on Spark."""
+        self._kept: dict[str, Kept] = {} if self._tables is not None else self._empty()
+        self._new: dict[str, list[DataFrame]] = {}  # asserted since the last run
         self._buffer: dict[str, list[tuple]] = {}
+        self._ran = False
+        self._changed: dict[str, DataFrame] = {}
+        self._seen: dict[str, str] = {}  # fingerprints of predicates that were ingested
 
     @classmethod
     def from_source(cls, spark: SparkSession, text: str, **how) -> Engine:
@@ -165,21 +191,30 @@ class Engine:
     def is_local(self) -> bool:
         return self._tables is not None
 
-    def _empty(self) -> dict[str, DataFrame]:
-        return {n: self.spark.createDataFrame([], fixpoint.schema(r)) for n, r in self.relations.items()}
+    def _frame(self, name: str, rows: list[tuple]) -> DataFrame:
+        return self.spark.createDataFrame(rows, fixpoint.schema(self.relations[name]))
+
+    def _empty(self) -> dict[str, Kept]:
+        return {n: Kept(self.spark, r, self._frame(n, [])) for n, r in self.relations.items()}
 
     def _to_spark(self) -> None:
         """Leave the local path for good."""
         if self._tables is not None:
             tables, self._tables = self._tables, None
-            self._db = {n: self.spark.createDataFrame(list(t.rows), fixpoint.schema(t.relation)) for n, t in tables.items()}
+            self._kept = {n: Kept(self.spark, t.relation, self._frame(n, list(t.rows))) for n, t in tables.items()}
 
-    def _flush(self) -> dict[str, DataFrame]:
+    def _flush(self) -> None:
         for name, rows in self._buffer.items():
-            r = self.relations[name]
-            self._db[name] = fixpoint.unique(r, self._db[name].union(self.spark.createDataFrame(rows, fixpoint.schema(r))))
+            self._new.setdefault(name, []).append(self._frame(name, rows))
         self._buffer = {}
-        return self._db
+
+    def _read(self, name: str) -> DataFrame:
+        """All tuples of a relation on Spark, with those asserted since the last run."""
+        self._flush()
+        rows = self._kept[name].read()
+        for new in self._new.get(name, []):
+            rows = rows.union(new)
+        return fixpoint.unique(self.relations[name], rows) if name in self._new else rows
 
     # -- facts
     def _checked(self, relation: str, values: Iterable[Value]) -> tuple:
@@ -233,8 +268,11 @@ class Engine:
         elif nulls == "reject" and not df.filter(some).isEmpty():
             raise ColumnType(f"{relation}: there are nulls")
         self._to_spark()
-        rows = self._flush()[relation].union(df)
-        self._db[relation] = fixpoint.unique(r, rows) if distinct or r.lattice else rows
+        if distinct or r.lattice or self._ran or relation in self._new or relation in self._buffer:
+            self._flush()
+            self._new.setdefault(relation, []).append(df)
+        else:
+            self._kept[relation] = Kept(self.spark, r, self._kept[relation].read().union(df))
 
     # -- evaluation
     def run(self) -> Engine:
@@ -250,16 +288,29 @@ class Engine:
             except LakelogError:
                 self._tables = before
                 raise
-        self._db = fixpoint.run(self.spark, self.relations, self.strata, self._flush(), self.max_iterations)
+        self._flush()
+        if self._ran:
+            kept = {n: k.settled() if n in self._derived else k for n, k in self._kept.items()}
+            self._kept = kept
+            new = {n: reduce(DataFrame.union, rows) for n, rows in self._new.items()}
+            self._kept, self._changed = fixpoint.run(self.spark, self.relations, self.strata, kept, self.max_iterations, new)
+        else:
+            kept = {n: Kept(self.spark, self.relations[n], self._read(n)) for n in self.relations}
+            self._kept, self._changed = fixpoint.run(self.spark, self.relations, self.strata, kept, self.max_iterations)
+        self._new, self._ran = {}, True
         return self
 
+    @property
+    def _derived(self) -> set[str]:
+        return {h.relation for r in self.program.rules for h in r.heads}
+
     def relation(self, name: str) -> DataFrame:
         """All tuples; none for an unknown relation."""
         if name not in self.relations:
             return self.spark.createDataFrame([], "c0 long")
         if self._tables is not None:
-            return self.spark.createDataFrame(list(self._tables[name].rows), fixpoint.schema(self.relations[name]))
-        return self._flush()[name]
+            return self._frame(name, list(self._tables[name].rows))
+        return self._read(name)
 
     def rows(self, name: str) -> list[tuple]:
         """All tuples in the driver, sorted; for small relations."""
@@ -269,13 +320,19 @@ class Engine:
 
     def speculate(self, facts: Iterable[tuple[str, Iterable[Value]]]) -> Consequences:
         """What the facts would add, at the fixed point; the engine itself stays as it is."""
+        self._flush()
+        if self._ran:  # stored once, so that no fork evaluates it again
+            self._kept = {n: k.settled() if n in self._derived else k for n, k in self._kept.items()}
         fork = copy.copy(self)
-        fork._tables, fork._db, fork._buffer = copy.deepcopy(self._tables), dict(self._db), {k: list(v) for k, v in self._buffer.items()}
+        fork._tables, fork._kept, fork._buffer = copy.deepcopy(self._tables), dict(self._kept), {}
+        fork._new = {k: list(v) for k, v in self._new.items()}
         fork.add_facts(facts)
         fork.run()
         if self._tables is not None and fork._tables is not None:
             found = {n: sorted(r for r in t.rows if r not in self._tables[n].rows) for n, t in fork._tables.items()}
             return Consequences(self.spark, self.relations, None, {n: r for n, r in found.items() if r})
+        if self._ran and not self._new:
+            return Consequences(self.spark, self.relations, fork._changed, None)
         frames = {n: fork.relation(n).join(self.relation(n), r.columns, "left_anti") for n, r in self.relations.items()}
         return Consequences(self.spark, self.relations, frames, None)
 
@@ -300,24 +357,23 @@ class Engine:
 
     def evaluate_query(self, q: ConjunctiveQuery, cap: int = DEFAULT_CAP) -> QueryResult:
         """Without the check of safety: negation is allowed here."""
+        check_aggregates(q.body, self.relations)
         if self._tables is not None:
             return self._query_local(q, cap)
-        db = self._flush()
         with wrapping(self.spark):
-            body = Body(self.spark, self.relations, lambda k, n: db[n], support=True)
+            body = Body(self.spark, self.relations, lambda k, n: self._read(n), support=True)
             state = body.compile(q.body, q.outputs)
             outputs, types = [], []
             for i, e in enumerate(q.outputs):
                 value, kind = body.value(state, e)
                 outputs.append(value.cast(SPARK_TYPES[kind or INT]).alias(f"o{i}"))
                 types.append(kind or INT)
-            fixpoint.raise_faults(state.faults)
-            why = F.array(*[F.col(c) for _, c in state.support]) if state.support else F.array().cast("array<struct<relation:string,values:array<struct<type:string,value:string>>>>")
-            capped = state.df.select(*outputs, why.alias("support")).limit(cap + 1).persist()
-            truncated = capped.count() > cap
-            names = [f"o{i}" for i in range(len(types))]
-            frame = capped.limit(cap).groupBy(*names).agg(F.collect_list("support").alias("justifications"))
-        return QueryResult(self.spark, types, truncated, frame)
+            rows = state.df.select(*outputs, _why(state.support).alias("support"))
+        # written once with its faults and its count: no plan is evaluated twice
+        stored, rows, n = Stored(self.spark, rows.schema).add(rows.limit(cap + 1) if cap <= LIMIT_ROWS else rows, state.faults)
+        names = [f"o{i}" for i in range(len(types))]
+        frame = (rows.limit(cap) if n > cap else rows).groupBy(*names).agg(F.collect_list("support").alias("justifications"))
+        return QueryResult(self.spark, types, n > cap, frame)
 
     def _query_local(self, q: ConjunctiveQuery, cap: int) -> QueryResult:
         found: dict[tuple, list[Support]] = {}
@@ -345,55 +401,83 @@ class Engine:
                 out.append(INT)
         return out
 
-    def explain(self, relation: str, values: Iterable[Value]) -> list[Derivation]:
-        """Every one-step derivation of the tuple (of a lattice: of its key) by the rules."""
-        if relation not in self.relations:
+    def explain(self, relation: str, values: Iterable[Value], cap: int = DEFAULT_CAP) -> Explanation:
+        """The one-step derivations of the tuple (of a lattice: of its key) by the rules, at most
+        ``cap``.  A tuple that can't be in the relation, by its types or length, has none."""
+        r = self.relations.get(relation)
+        if r is None:
             raise UnknownRelation(f"unknown relation {relation}")
-        want = self._checked(relation, values)
-        keys = len(want) - 1 if self.relations[relation].lattice else len(want)
-        out = []
+        values = tuple(values)
+        out = Explanation()
+        want = values[: len(values) - 1 if r.lattice else len(values)]
+        fits = all(v is not None and type_of(v) == t and (t != INT or -(2**63) <= v < 2**63) for v, t in zip(want, r.types))
+        if len(values) != len(r.types) or not fits:
+            return out
         for k, rule in enumerate(self.program.rules):
             for head in rule.heads:
                 if head.relation == relation:
-                    out += [Derivation(k, s) for s in self._explained(rule, head, want[:keys])]
-        return sorted(out, key=repr)
+                    found = self._explained(rule, head, want, cap + 1 - len(out))
+                    out += [Derivation(k, s) for s in found]
+                    if len(out) > cap:
+                        out.truncated = True
+                        del out[cap:]
+                        return out
+        out.sort(key=repr)
+        return out
 
-    def _explained(self, rule, head, want: tuple) -> list[Support]:
+    def _explained(self, rule, head, want: tuple, most: int) -> list[Support]:
         if self._tables is not None:
             tables = self._tables
-            return [s for env, s in local.solve(rule.body, lambda k, n: tables[n]) if tuple(local.typed(e, env) for e in head.exprs)[: len(want)] == want]
-        db = self._flush()
+            found = (s for env, s in local.solve(rule.body, lambda k, n: tables[n]) if tuple(local.typed(e, env) for e in head.exprs)[: len(want)] == want)
+            return list(islice(found, most))
         with wrapping(self.spark):
-            body = Body(self.spark, self.relations, lambda k, n: db[n], support=True)
+            body = Body(self.spark, self.relations, lambda k, n: self._read(n), support=True)
             state = body.compile(rule.body, head.exprs)
-            for e, v in zip(head.exprs, want):
+            wanted = []
+            for i, e in enumerate(head.exprs):  # a fault in any of them counts
                 value, _ = body.value(state, e)
-                state.df = state.df.filter(value == literal(v))
-            fixpoint.raise_faults(state.faults)
-            rows = state.df.select(F.array(*[F.col(c) for _, c in state.support]).alias("s")) if state.support else state.df.select(F.array().alias("s"))
+                if i < len(want):
+                    wanted.append(value == literal(want[i]))
+            rows = reduce(DataFrame.filter, wanted, state.df).select(_why(state.support).alias("s")).limit(most)
+            rows = Stored(self.spark, rows.schema).add(rows, state.faults)[1] if state.faults else rows
             return [_support(r.s) for r in rows.collect()]
 
+    # -- the protocol of fact stores
+    def eval(self, query: ConjunctiveQuery, max: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of a checked query, and the rows with their justifications."""
+        result = self.query(query, cap=max)
+        return result.df, result.provenance
+
     # -- sources
-    def ingest(self, source) -> str:
-        """All predicates of a FactSource; returns its content id.  Everything is checked before anything is added."""
-        found = []
+    def ingest(self, source, expected: dict[str, str] | None = None) -> str:
+        """All predicates of a FactSource; returns its content id.  ``expected``: the fingerprints
+        that the host was built against, by predicate; where it has none, those of a predicate's
+        first batch.  Everything is checked before anything is added."""
+        found, seen = [], {}
         for d in source.schema():
             if d.name not in self.relations:
                 raise SchemaError(f"no relation {d.name} for the source's predicate")
+            d.validate(self.relations[d.name].types, (expected or {}).get(d.name, self._seen.get(d.name, d.fingerprint)))
             frame = source.to_dataframe(self.spark, d)
             d.validate_frame(frame)
-            if tuple(d.columns) != self.relations[d.name].types:
-                raise SchemaError(f"{d.name} is declared as {self.relations[d.name].types}, the source has {tuple(d.columns)}")
+            seen[d.name] = d.fingerprint
             found.append((d.name, frame))
         for name, frame in found:
             self.add_dataframe(name, frame)
+        self._seen |= seen
         return source.content_id()
 
     def free(self) -> None:
-        """Forget all tuples."""
+        """Forget all tuples and delete what was stored of them; DataFrames that were handed out
+        can't be read any more."""
+        for k in self._kept.values():
+            k.stored.remove()
         self._tables = {n: local.Table(r) for n, r in self.relations.items()} if self.local_rows else None
-        self._db = {} if self.local_rows else self._empty()
-        self._buffer = {}
+        self._start()
+
+
+def _why(support: list[tuple[str, str]]) -> Column:
+    return F.array(*[F.col(c) for _, c in support]) if support else F.array().cast(_WHY)
 
 
-__all__ = ["Consequences", "Derivation", "Engine", "QueryResult", "RelationSchema", "compile_expr"]
+__all__ = ["Consequences", "Derivation", "Engine", "Explanation", "QueryResult", "RelationSchema", "compile_expr"]

@@ -56,7 +56,23 @@ class IterationLimit(EvalError):
 
 
 class ExprFault(EvalError):
-    """UnboundVar, TypeMismatch or Arithmetic, of a row that reached the expression."""
+    """An expression failed on a row that reached it."""
+
+
+class UnboundVar(ExprFault):
+    pass
+
+
+class TypeMismatch(ExprFault):
+    pass
+
+
+class Arithmetic(ExprFault):
+    """Division by zero, or of the least integer by -1."""
+
+
+class RuntimeFault(ExprFault):
+    """The plan itself failed while it ran."""
 
 
 class SchemaDrift(LakelogError):

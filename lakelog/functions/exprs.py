@@ -7,6 +7,7 @@ optimizer may move an expression to rows that the program doesn't let it see.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,17 +19,20 @@ from lakelog.plans.ir import BOOL, INT, SYM, Binary, Expr, Lit, Unary, Var
 
 SPARK_TYPES = {INT: T.LongType(), BOOL: T.BooleanType(), SYM: T.StringType()}
 _MIN = -(2**63)
+_mode = threading.RLock()
 
 
 @contextmanager
 def wrapping(spark: SparkSession) -> Iterator[None]:
-    """Plans built inside wrap on overflow; Spark keeps the mode in the plan."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+    """Plans built inside wrap on overflow; Spark keeps the mode in the plan.  The setting is
+    the session's, so engines of several threads take turns."""
+    with _mode:
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def literal(value: int | bool | str) -> Column:

@@ -6,7 +6,10 @@ negation a left-anti join, aggregates a grouped table joined back, ``if`` a filt
 scans and prunes the columns that no later clause reads.
 
 Rows on which an expression fails leave the plan at that clause and are kept as separate
-plans in ``faults``: any row there makes the result indeterminate.
+plans in ``faults``: any row there makes the result indeterminate.  They are written with the
+result, by the same job (see ``materialize.Stored``).
+
+Aggregates that follow each other over the same rows of a relation are one scan and one join.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelog.errors import ExprFault
+from lakelog.errors import Arithmetic, ExprFault
 from lakelog.functions.exprs import compile_expr, literal
 from lakelog.plans.ir import BOOL, Agg, Atom, Expr, If, LatticeRead, Let, Lit, Match, Negated, Relation, Var, Wild, type_of, variables
-from lakelog.plans.typing_ import infer
+from lakelog.plans.typing_ import can_fault, infer
 
 Scan = Callable[[int, str], DataFrame]
 
@@ -38,7 +41,7 @@ class State:
     columns: dict[str, str] = field(default_factory=dict)  # variable: column
     types: dict[str, str | None] = field(default_factory=dict)
     support: list[tuple[str, str]] = field(default_factory=list)  # relation, column
-    faults: list[tuple[str, DataFrame]] = field(default_factory=list)
+    faults: list[tuple[ExprFault, DataFrame]] = field(default_factory=list)
 
     def env(self) -> dict[str, Column]:
         return {v: F.col(c) for v, c in self.columns.items()}
@@ -57,7 +60,10 @@ class Body:
 
     def compile(self, body, outputs: tuple[Expr, ...]) -> State:
         state = State()
+        done = 0
         for k, c in enumerate(body):
+            if k < done:
+                continue
             if isinstance(c, Match):
                 self.match(state, k, c.atom, self.live(body[k + 1 :], outputs))
             elif isinstance(c, Negated):
@@ -69,7 +75,9 @@ class Body:
                 value, kind = self.value(state, c.expr)
                 self.bind(state, c.name, value, kind)
             else:
-                self.aggregate(state, k, c)
+                same = self.alike(state, body[k:])
+                done = k + len(same)
+                self.aggregate(state, k, same)
         self.seed(state)
         return state
 
@@ -97,12 +105,12 @@ class Body:
         try:
             kind = infer(e, state.types)
         except ExprFault as fault:
-            state.faults.append((str(fault), state.df))
+            state.faults.append((fault, state.df))
             state.df = state.df.filter(F.lit(False))
             return F.lit(None), None
         value, failed = compile_expr(e, state.env())
         if failed is not None:
-            state.faults.append((f"arithmetic in {e}", state.df.filter(failed)))
+            state.faults.append((Arithmetic(f"arithmetic in {e}"), state.df.filter(failed)))
             state.df = state.df.filter(~failed)
         return value, kind
 
@@ -180,52 +188,97 @@ class Body:
             state.df = state.df.join(rows.limit(1).select(F.lit(1).alias(self.fresh("one"))), F.lit(True), "left_anti")
 
     # -- aggregates
-    def aggregate(self, state: State, k: int, c: Agg) -> None:
+    def shape(self, state: State, atom: Atom) -> tuple:
+        """What decides which rows of the relation an aggregate's atom takes."""
+        first: dict[str, int] = {}
+        out = []
+        for i, a in enumerate(atom.args):
+            if isinstance(a, Lit):
+                out.append(("literal", type_of(a.value), a.value))
+            elif isinstance(a, Wild):
+                out.append(None)
+            elif a.name in state.columns:
+                out.append(("key", a.name))
+            else:
+                out.append(("as", first[a.name]) if a.name in first else None)
+                first.setdefault(a.name, i)
+        return (atom.relation, *out)
+
+    def alike(self, state: State, rest) -> list[Agg]:
+        """The aggregate at the head of ``rest``, with those behind it that read the same rows,
+        can't fail and read nothing that one before them binds."""
+        out = [rest[0]]
+        shape = self.shape(state, rest[0].atom)
+        bound = {rest[0].name}
+
+        def plain(c: Agg) -> bool:
+            names = set(c.atom.names())
+            return c.arg is None or not (can_fault(c.arg) or any(v in state.columns or v not in names for v in variables(c.arg)))
+
+        for c in rest[1:] if plain(rest[0]) else []:
+            read = set(c.atom.names()) if isinstance(c, Agg) else set()
+            if not isinstance(c, Agg) or bound & read or not plain(c) or self.shape(state, c.atom) != shape:
+                break
+            out.append(c)
+            bound.add(c.name)
+        return out
+
+    def aggregate(self, state: State, k: int, same: list[Agg]) -> None:
         self.seed(state)
-        rows, new, keys, types = self.source(state, k, c.atom)
-        name = self.fresh("v")
-        local = {v: t for v, t in {**state.types, **types}.items()}
-        used = variables(c.arg) if c.arg is not None else []
-        outer = [v for v in used if v in state.columns]
-        try:
-            kind = infer(c.arg, local) if c.arg is not None else None
-            env = state.env() | {v: F.col(x) for v, x in new.items()}
-            value, failed = compile_expr(c.arg, env) if c.arg is not None else (F.lit(1), None)
-            message = f"arithmetic in {c.arg}"
-        except ExprFault as fault:
-            value, failed, kind, message = F.lit(1), F.lit(True), None, str(fault)
-        if kind == BOOL:
-            value = value.cast("bigint")
+        rows, new, keys, types = self.source(state, k, same[0].atom)
+        at = {a.name: i for i, a in enumerate(same[0].atom.args) if not isinstance(a, (Lit, Wild))}
+        own = {i: new[v] for v, i in at.items() if v in new}
         pairs = list(dict.fromkeys((a, b) for a, b in keys))
         by = list(dict.fromkeys(b for _, b in pairs))
-        if outer or failed is not None:
-            # the argument reads outer variables, or may fail: only rows that an outer solution reaches count
-            left = list(dict.fromkeys([a for a, _ in pairs] + [state.columns[v] for v in outer]))
-            probe = state.df.select(*left).distinct() if left else state.df.limit(1)
-            joined = probe.join(rows, _all([F.col(a) == F.col(b) for a, b in pairs])) if pairs else probe.crossJoin(rows)
-            if failed is not None:
-                state.faults.append((message, joined.filter(failed)))
-                joined = joined.filter(~failed)
-            by, rows = left, joined
-            pairs = [(x, x) for x in left]
-        made = {"count": F.count(F.lit(1)), "sum": F.sum(value), "min": F.min(value), "max": F.max(value)}[c.function]
-        if c.arg is None and c.function != "count":
-            made = F.lit(0) if c.function == "sum" else F.lit(None)
-            made = F.max(made)
+        made = []
+        for n, c in enumerate(same):
+            if n:  # its variables by their places
+                plain = rows.columns
+                own_types = self.relations[c.atom.relation].types
+                places = {a.name: i for i, a in reversed(list(enumerate(c.atom.args))) if not isinstance(a, (Lit, Wild)) and a.name not in state.columns}
+                new = {v: own.get(i, plain[i]) for v, i in places.items()}
+                types = {v: own_types[i] for v, i in places.items()}
+            used = variables(c.arg) if c.arg is not None else []
+            outer = [v for v in used if v in state.columns]
+            try:
+                kind = infer(c.arg, {**state.types, **types}) if c.arg is not None else None
+                env = state.env() | {v: F.col(x) for v, x in new.items()}
+                value, failed = compile_expr(c.arg, env) if c.arg is not None else (F.lit(1), None)
+                error: ExprFault = Arithmetic(f"arithmetic in {c.arg}")
+            except ExprFault as fault:
+                value, failed, kind, error = F.lit(1), F.lit(True), None, fault
+            if kind == BOOL:
+                value = value.cast("bigint")
+            if outer or failed is not None:
+                # the argument reads outer variables, or may fail: only rows that an outer solution reaches count
+                left = list(dict.fromkeys([a for a, _ in pairs] + [state.columns[v] for v in outer]))
+                probe = state.df.select(*left).distinct() if left else state.df.limit(1)
+                joined = probe.join(rows, _all([F.col(a) == F.col(b) for a, b in pairs])) if pairs else probe.crossJoin(rows)
+                if failed is not None:
+                    state.faults.append((error, joined.filter(failed)))
+                    joined = joined.filter(~failed)
+                by, rows = left, joined
+                pairs = [(x, x) for x in left]
+            function = {"count": F.count(F.lit(1)), "sum": F.sum(value), "min": F.min(value), "max": F.max(value)}[c.function]
+            if c.arg is None and c.function != "count":
+                function = F.max(F.lit(0) if c.function == "sum" else F.lit(None))
+            made.append((c, self.fresh("v"), function.cast("bigint")))
         again = {x: self.fresh("k") for x in by}
-        table = rows.groupBy(*[F.col(x).alias(again[x]) for x in by]).agg(made.cast("bigint").alias(name))
-        keep = c.function in ("count", "sum")
+        table = rows.groupBy(*[F.col(x).alias(again[x]) for x in by]).agg(*[f.alias(name) for _, name, f in made])
+        whole = [c.function in ("count", "sum") for c, _, _ in made]
         if by:
             condition = _all([F.col(a) == F.col(again[b]) for a, b in pairs])
-            state.df = state.df.join(table, condition, "left" if keep else "inner")
+            state.df = state.df.join(table, condition, "left" if all(whole) else "inner")
         else:
             state.df = state.df.crossJoin(table)
-        if keep:
-            state.df = state.df.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
-        else:
-            state.df = state.df.filter(F.col(name).isNotNull())
+        for (_, name, _), keep in zip(made, whole):
+            if keep:
+                state.df = state.df.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
+            else:
+                state.df = state.df.filter(F.col(name).isNotNull())
         state.df = state.df.drop(*again.values())
-        state.columns[c.name], state.types[c.name] = name, "int"
+        for c, name, _ in made:
+            state.columns[c.name], state.types[c.name] = name, "int"
 
 
 __all__ = ["Body", "State", "Var"]

@@ -6,10 +6,13 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakelog.errors import StorageError
+from lakelog.errors import Arithmetic, ExprFault, RuntimeFault, StorageError, TypeMismatch, UnboundVar
+
+FAULT = "__fault"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,22 +38,52 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def raise_fault(found: str | None) -> None:
+    """``found``: a fault's class and message."""
+    if found:
+        kind, _, message = found.partition(": ")
+        raise {c.__name__: c for c in (UnboundVar, TypeMismatch, Arithmetic, RuntimeFault)}.get(kind, ExprFault)(message)
+
+
 class Stored:
-    """A relation as Parquet folders that only grow in number: adding rows rewrites nothing,
-    and reading it is one scan without lineage."""
+    """A relation as Parquet folders: adding rows rewrites nothing, and reading it is one scan
+    without lineage.  Beyond ``MOST`` folders they are written together."""
+
+    MOST = 24
 
     def __init__(self, spark: SparkSession, schema: T.StructType, paths: tuple[str, ...] = ()):
         self.spark, self.schema, self.paths = spark, schema, paths
 
-    def add(self, rows: DataFrame) -> tuple[Stored, DataFrame, int]:
-        """With the rows added; the rows as read back; how many they are (from Parquet's footers)."""
+    def add(self, rows: DataFrame, faults: list[tuple[ExprFault, DataFrame]] = ()) -> tuple[Stored, DataFrame, int]:
+        """With the rows added; the rows as read back; how many they are.  One job writes rows
+        and faults and counts them; a fault is raised."""
         path = f"{shared_dir(self.spark)}/rows-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
+        rows = rows.select(*self.schema.names)
+        counts = [F.count(F.lit(1)).alias("n")]
+        if faults:
+            rows = rows.withColumn(FAULT, F.lit(None).cast("string"))
+            for fault, bad in faults:
+                found = bad.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema], F.lit(f"{type(fault).__name__}: {fault}").alias(FAULT))
+                rows = rows.unionByName(found)
+            counts.append(F.max(FAULT).alias("fault"))
+        seen = Observation(f"stored-{uuid.uuid4().hex}")
+        rows.observe(seen, *counts).write.parquet(path)
+        if faults and seen.get["fault"]:
+            remove(self.spark, path)
+            raise_fault(seen.get["fault"])
+        n = seen.get["n"]
         added = self.spark.read.schema(self.schema).parquet(path)
-        n = added.count()
+        if n and len(self.paths) >= self.MOST:
+            whole = f"{shared_dir(self.spark)}/rows-{uuid.uuid4().hex}"
+            self.spark.read.schema(self.schema).parquet(*self.paths).write.parquet(whole)
+            return Stored(self.spark, self.schema, (whole, path)), added, n
         return (Stored(self.spark, self.schema, (*self.paths, path)) if n else self), added, n
 
     def read(self) -> DataFrame:
         if not self.paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+    def remove(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)

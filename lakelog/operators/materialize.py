@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that no plan reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,13 +62,13 @@ class Stored:
     def add(self, rows: DataFrame, faults: list[tuple[ExprFault, DataFrame]] = ()) -> tuple[Stored, DataFrame, int]:
         """With the rows added; the rows as read back; how many they are.  One job writes rows
         and faults and counts them; a fault is raised."""
-        path = f"{shared_dir(self.spark)}/rows-{uuid.uuid4().hex}"
+        path = new_folder(self.spark, "rows")
         rows = rows.select(*self.schema.names)
         counts = [F.count(F.lit(1)).alias("n")]
         if faults:
             rows = rows.withColumn(FAULT, F.lit(None).cast("string"))
             for fault, bad in faults:
-                found = bad.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema], F.lit(f"{type(fault).__name__}: {fault}").alias(FAULT))
+                found = bad.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema], F.lit(f"{type(fault).__name__}: {fault}").alias(FAULT))
                 rows = rows.unionByName(found)
             counts.append(F.max(FAULT).alias("fault"))
         seen = Observation(f"stored-{uuid.uuid4().hex}")
@@ -74,7 +79,7 @@ class Stored:
         n = seen.get["n"]
         added = self.spark.read.schema(self.schema).parquet(path)
         if n and len(self.paths) >= self.MOST:
-            whole = f"{shared_dir(self.spark)}/rows-{uuid.uuid4().hex}"
+            whole = new_folder(self.spark, "rows")
             self.spark.read.schema(self.schema).parquet(*self.paths).write.parquet(whole)
             return Stored(self.spark, self.schema, (whole, path)), added, n
         return (Stored(self.spark, self.schema, (*self.paths, path)) if n else self), added, n

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelog.engine import Engine
+from lakelog.errors import LakelogError
 from lakelog.sources.parquet import ParquetSource, elements, facts
+from lakelog.sources.source import PredicateDescriptor
 
 
 @dataclass
@@ -165,7 +167,7 @@ def speculate_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second run continues from the first one's state; counts from both stay."""
+    """A second run continues from the first one's state; counts of both stay."""
     engine = SPECS["agg_count"].engine(spark, sf_dir).run()
     engine.add_fact("customer", (-1, 3))
     return engine.run().relation("out").toDF("k", "m")
@@ -186,6 +188,115 @@ def fact_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.run().relation("out").toDF("n", "m")
 
 
+def _said(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "what string, found string")
+
+
+def _error(f) -> str:
+    """The class of the error that a call ends with."""
+    try:
+        f()
+    except LakelogError as e:
+        return type(e).__name__
+    return "none"
+
+
+def cap_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cap of nothing: no rows, and truncated as there are solutions."""
+    result = SPECS["join2"].engine(spark, sf_dir).query("(c) <-- customer(c, _)", cap=0)
+    return result.df.groupBy().agg(F.count("*").alias("n")).withColumn("truncated", F.lit(result.truncated))
+
+
+def cap_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cap that holds where none is given; it counts solutions, not rows."""
+    result = SPECS["agg_max"].engine(spark, sf_dir).query("(o, l) <-- item(o, l, _, _, _)")
+    return result.provenance.agg(F.sum(F.size("justifications")).alias("n")).withColumn("truncated", F.lit(result.truncated))
+
+
+def schema_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations with their column types, by name."""
+    rows = [(r.name, ", ".join(r.columns)) for r in SPECS["join3"].engine(spark, sf_dir).schema()]
+    return spark.createDataFrame(rows, "name string, types string")
+
+
+def check_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of form, without evaluation: range restriction, relations, arities, symbols in sums, syntax."""
+    engine = SPECS["join3"].engine(spark, sf_dir)
+    asked = {
+        "right": "(c) <-- customer(c, _)",
+        "output unbound": "(x) <-- customer(c, _)",
+        "filter unbound": "(c) <-- customer(c, _), if z > 1",
+        "negation": "(c) <-- customer(c, k), !nation(k, _, _)",
+        "relation": "(c) <-- nothing(c)",
+        "arity": "(c) <-- customer(c)",
+        "symbols": "(x) <-- agg x = sum(n) in nation(_, n, _)",
+        "syntax": "() <-- customer(c, _)",
+    }
+    return _said(spark, [(k, _error(lambda: engine.check(q))) for k, q in asked.items()])
+
+
+def unknown_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unknown relation reads as empty; facts for it are an error."""
+    engine = SPECS["join3"].engine(spark, sf_dir)
+    return _said(spark, [("rows", str(engine.relation("nothing").count())), ("fact", _error(lambda: engine.add_fact("nothing", (1,))))])
+
+
+def batch_assertion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with one wrong fact adds none; a right one all."""
+    engine = SPECS["join2"].engine(spark, sf_dir)
+    _error(lambda: engine.add_facts([("customer", (-5, 1)), ("customer", (-6, "x"))]))
+    engine.add_facts([("customer", (-7, 1)), ("customer", (-8, 1)), ("customer", (-8, 1))])
+    return engine.run().relation("out").toDF("c", "n").filter("c < 0")
+
+
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs from what was declared: arity, type, then fingerprint; nothing is added."""
+    table = {"nation": (f"{sf_dir}/nation.parquet", ["n_nationkey", "n_name", "n_regionkey"], "nations")}
+    found = ParquetSource(spark, table).schema()[0]
+    engine = Engine.from_source(spark, _D_NATION, local_rows=0)
+    declared = lambda columns, digest: [PredicateDescriptor(1, "nation", columns, "nations", digest)]
+    tries = {
+        "arity": lambda: ParquetSource(spark, table, declared=declared(("int", "sym"), found.fingerprint)),
+        "type": lambda: ParquetSource(spark, table, declared=declared(("int", "int", "int"), found.fingerprint)),
+        "fingerprint": lambda: ParquetSource(spark, table, declared=declared(found.columns, "09" * 32)),
+        "host": lambda: engine.ingest(ParquetSource(spark, table), expected={"nation": "09" * 32}),
+    }
+    rows = [(k, _error(f)) for k, f in tries.items()]
+    rows.append(("added", str(engine.relation("nation").count())))
+    engine.ingest(ParquetSource(spark, table, declared=[found]))
+    return _said(spark, [*rows, ("right", str(engine.relation("nation").count()))])
+
+
+def explain_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lattice's cell is explained by its key: one derivation for each of the customer's orders."""
+    engine = SPECS["lattice_max"].engine(spark, sf_dir).run()
+    rows = [(d.support[0][1][0], d.support[0][1][3]) for d in engine.explain("best", (1, 0))]
+    return spark.createDataFrame(rows, "k long, p long")
+
+
+def explain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuples that can't be there have no derivations; an unknown relation is an error."""
+    engine = SPECS["join2"].engine(spark, sf_dir).run()
+    asked = {"absent": (-1, "x"), "type": ("x", "x"), "arity": (1,), "base": (1, 2)}
+    rows = [(k, str(len(engine.explain("customer" if k == "base" else "out", v)))) for k, v in asked.items()]
+    return _said(spark, [*rows, ("relation", _error(lambda: engine.explain("nothing", (1,))))])
+
+
+def iteration_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recursion that needs more passes than it may take is an error."""
+    spec = SPECS["recursion_cyclic"]
+    turns = facts(spark.read.parquet(f"{sf_dir}/nation.parquet"), "n_nationkey", "n_name", "n_regionkey")
+    engine = Engine.from_source(spark, spec.program, local_rows=0, max_iterations=1)
+    engine.add_dataframe("nation", turns)
+    return _said(spark, [("one pass", _error(engine.run))])
+
+
+def speculate_before_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a run before, all that follows is new."""
+    engine = SPECS["default_deny"].engine(spark, sf_dir)
+    return engine.speculate([("nation", (102, "ATLANTIS", 0))]).added("allowed").toDF("k")
+
+
 _ASIA = "FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"
 _OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "query_rows": (query_rows, f"SELECT DISTINCT n_name AS n, CAST(n_regionkey AS BIGINT) AS r {_ASIA}"),
@@ -196,6 +307,17 @@ _OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "speculate_delta": (speculate_delta, "SELECT DISTINCT CAST(1000 AS BIGINT) AS a, b FROM (" + SPECS["recursion_cyclic"].sql + ") WHERE a = 0 UNION SELECT 1000, 0 UNION SELECT 1000, 1000"),
     "incremental": (incremental, "WITH c AS (" + SPECS["agg_count"].sql + ") SELECT * FROM c UNION SELECT k, m + 1 FROM c WHERE k = 3"),
     "side_relation": (side_relation, "SELECT vec_id AS v, CAST(ROUND(embedding[1] * 1000.0::FLOAT) AS BIGINT) AS x FROM embeddings WHERE ROUND(embedding[1] * 1000.0::FLOAT) = list_max(list_transform(embedding, lambda y: ROUND(y * 1000.0::FLOAT)))"),
+    "cap_zero": (cap_zero, "SELECT CAST(0 AS BIGINT) AS n, count(*) > 0 AS truncated FROM customer"),
+    "cap_default": (cap_default, "SELECT least(count(*), 10000) AS n, count(*) > 10000 AS truncated FROM lineitem"),
+    "schema_listing": (schema_listing, "SELECT * FROM (VALUES ('customer', 'int, int'), ('nation', 'int, sym, int'), ('out', 'int, sym'), ('region', 'int, sym')) t(name, types)"),
+    "check_only": (check_only, "SELECT * FROM (VALUES ('right', 'none'), ('output unbound', 'UnsafeError'), ('filter unbound', 'UnsafeError'), ('negation', 'UnsafeError'), ('relation', 'SchemaError'), ('arity', 'SchemaError'), ('symbols', 'ColumnType'), ('syntax', 'ParseError')) t(what, found)"),
+    "unknown_relation": (unknown_relation, "SELECT * FROM (VALUES ('rows', '0'), ('fact', 'UnknownRelation')) t(what, found)"),
+    "batch_assertion": (batch_assertion, "SELECT CAST(c AS BIGINT) AS c, n_name AS n FROM nation, (VALUES (-7), (-8)) t(c) WHERE n_nationkey = 1"),
+    "drift": (drift, "SELECT * FROM (VALUES ('arity', 'ArityDrift'), ('type', 'ColumnTypeDrift'), ('fingerprint', 'FingerprintDrift'), ('host', 'FingerprintDrift'), ('added', '0')) t(what, found) UNION ALL SELECT 'right', CAST(count(*) AS VARCHAR) FROM nation"),
+    "explain_lattice": (explain_lattice, "SELECT o_orderkey AS k, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS p FROM orders WHERE o_custkey = 1"),
+    "explain_edges": (explain_edges, "SELECT * FROM (VALUES ('absent', '0'), ('type', '0'), ('arity', '0'), ('base', '0'), ('relation', 'UnknownRelation')) t(what, found)"),
+    "iteration_cap": (iteration_cap, "SELECT 'one pass' AS what, 'IterationLimit' AS found"),
+    "speculate_before_run": (speculate_before_run, "SELECT * FROM (" + SPECS["default_deny"].sql + ") UNION ALL SELECT CAST(102 AS BIGINT)"),
     "fact_source": (fact_source, "SELECT n_name AS n, r_name AS m FROM nation JOIN region ON n_regionkey = r_regionkey"),
 }
 

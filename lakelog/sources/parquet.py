@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakelog.sources.source import FactSource, PredicateDescriptor
+from lakelog.errors import ArityDrift
+from lakelog.sources.source import FactSource, PredicateDescriptor, content_digest, fingerprint
 
 
 def lower(column: str, kind: T.DataType, scale: int = 0) -> Column:
@@ -41,31 +40,40 @@ def elements(df: DataFrame, key: str, column: str, scale: int = 0) -> DataFrame:
     return rows.select(key, F.col("index").cast("bigint").alias("index"), lower("element", kinds[column].elementType, scale).alias("element"))
 
 
-class ParquetSource(FactSource):
-    """Predicates over Parquet tables: name -> (path, columns, doc)."""
+def table_fingerprint(name: str, df: DataFrame, columns: list[str]) -> str:
+    """A digest of the columns that a predicate is read from, with their own names and types:
+    it sees renamed columns and other changes that lowering hides."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return fingerprint(name, tuple(f"{c} {kinds[c]}" for c in columns))
 
-    def __init__(self, spark: SparkSession, tables: dict[str, tuple[str, list[str], str]], scale: dict[str, int] | None = None):
-        self._frames, self._descriptors, self._paths = {}, [], {}
+
+class ParquetSource(FactSource):
+    """Predicates over Parquet tables: name -> (path, columns, doc).  ``declared`` has the
+    descriptors that the tables are expected to have; a table that has drifted from its own
+    fails before anything is read from it.  Others are described as they are found."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, tuple[str, list[str], str]], scale: dict[str, int] | None = None, declared: list[PredicateDescriptor] = ()):
+        self._frames, self._descriptors = {}, []
+        expected = {d.name: d for d in declared}
+        kinds = {"bigint": "int", "boolean": "bool", "string": "sym"}
         for i, (name, (path, columns, doc)) in enumerate(tables.items(), 1):
-            frame = facts(spark.read.parquet(path), *columns, scale=scale)
-            kinds = {"bigint": "int", "boolean": "bool", "string": "sym"}
-            self._frames[name], self._paths[name] = frame, path
-            self._descriptors.append(PredicateDescriptor(i, name, tuple(kinds[f.dataType.simpleString()] for f in frame.schema.fields), doc))
+            df = spark.read.parquet(path)
+            lost = [c for c in columns if c not in df.columns]
+            if lost:
+                raise ArityDrift(f"{name}: {path} has no column {lost[0]}")
+            frame = facts(df, *columns, scale=scale)
+            types, digest = tuple(kinds[f.dataType.simpleString()] for f in frame.schema.fields), table_fingerprint(name, df, columns)
+            found = expected.get(name) or PredicateDescriptor(i, name, types, doc, digest)
+            found.validate(types, digest)
+            self._frames[name] = frame
+            self._descriptors.append(found)
 
     def schema(self) -> list[PredicateDescriptor]:
         return list(self._descriptors)
 
     def content_id(self) -> str:
-        """A digest of the files' names, sizes and times; the data aren't read."""
-        seen = []
-        for name, frame in sorted(self._frames.items()):
-            jvm = frame.sparkSession.sparkContext._jvm
-            conf = frame.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            for file in sorted(frame.inputFiles()):
-                path = jvm.org.apache.hadoop.fs.Path(file)
-                status = path.getFileSystem(conf).getFileStatus(path)
-                seen.append(f"{name} {file} {status.getLen()} {status.getModificationTime()}")
-        return hashlib.sha256("\n".join(seen).encode()).hexdigest()
+        """A digest of the facts themselves: equal for equal facts in other files."""
+        return content_digest(self._frames)
 
     def to_dataframe(self, spark: SparkSession, predicate: PredicateDescriptor) -> DataFrame:
         return self._frames[predicate.name]

@@ -8,6 +8,7 @@ from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakelog.errors import ArityDrift, ColumnTypeDrift, FingerprintDrift
 from lakelog.plans.ir import BOOL, INT, SYM
@@ -49,10 +50,22 @@ class PredicateDescriptor:
             raise FingerprintDrift(f"{self.name}: {self.fingerprint} is declared, {found} came")
 
     def validate_frame(self, frame: DataFrame) -> None:
-        """Arity and types of a DataFrame, from its schema alone."""
+        """Arity and types of a DataFrame, from its schema alone; fingerprints are compared where
+        a source declares its predicates, and where the host ingests them."""
         self.validate(tuple(_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in frame.schema.fields), self.fingerprint)
 
 
+def content_digest(frames: dict[str, DataFrame]) -> str:
+    """A digest of facts by predicate, whatever files, partitions or order they come in: of each
+    predicate the number of rows and the sums of two hashes of each, in one distributed pass."""
+    found = []
+    for name, frame in sorted(frames.items()):
+        columns = [F.col(f"`{c}`") for c in frame.columns]
+        sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+        found.append([name, [f.dataType.simpleString() for f in frame.schema.fields], *map(str, frame.agg(F.count("*").alias("n"), *sums).first())])
+    return hashlib.sha256(json.dumps(found, separators=(",", ":")).encode()).hexdigest()
+
+
 class FactSource(ABC):
     """A batch of facts for some predicates."""
 

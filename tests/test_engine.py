@@ -1,9 +1,11 @@
 """Semantics, on the local path and on Spark's alike."""
 
+import os
+
 import pytest
 
 from lakelog import Engine
-from lakelog.errors import Arity, ColumnType, EvalError, ExprFault, IterationLimit, SchemaError, UnknownRelation, UnsafeError
+from lakelog.errors import Arithmetic, Arity, ColumnType, EvalError, ExprFault, IterationLimit, SchemaError, TypeMismatch, UnknownRelation, UnsafeError
 
 TC = "relation edge(int, int); relation path(int, int); path(x, y) <-- edge(x, y); path(x, z) <-- edge(x, y), path(y, z);"
 
@@ -205,3 +207,126 @@ def test_lattices(make):
 def test_empty_program(make):
     assert make("").run().rows("x") == []
     assert make("lattice l(int); relation a(int); l(x) <-- a(x);").run().rows("l") == []
+
+
+def joins(frame):
+    import re
+
+    return len(re.findall(r"Join", frame._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def scans(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_joins_are_linear_in_strata(spark):
+    """Strata that join the one before with itself."""
+    text = "relation r0(int, int); " + "".join(f"relation r{i}(int, int); r{i}(x, z) <-- r{i - 1}(x, y), r{i - 1}(y, z); " for i in range(1, 7))
+    e = Engine.from_source(spark, text, local_rows=0)
+    e.add_facts([("r0", (i, (i + 1) % 5)) for i in range(5)])
+    e.run()
+    assert joins(e.relation("r6")) <= 1
+    assert e.rows("r6") == [(i, (i + 64) % 5) for i in range(5)]
+
+
+def test_scans_are_constant_over_runs(spark):
+    text = TC + "relation far(int); far(x) <-- path(x, y), if y > x + 3; relation leaf(int); leaf(y) <-- path(_, y), !edge(y, _); relation most(int); most(n) <-- agg n = count() in edge(_, _);"
+    lone, grown = Engine.from_source(spark, text, local_rows=0), Engine.from_source(spark, text, local_rows=0)
+    pairs = [(i, i + 1) for i in range(8)]
+    counts, leaves, sizes = [], set(), set()
+    for k in range(4):
+        grown.add_dataframe("edge", spark.createDataFrame(pairs[2 * k : 2 * k + 2], "a long, b long"))
+        grown.run()
+        counts.append([scans(grown.relation(n)) for n in ("path", "far", "edge")])
+        leaves |= {(2 * k + 2,)}
+        sizes |= {(2 * k + 2,)}
+    assert counts[1] == counts[2] == counts[3]
+    lone.add_facts([("edge", p) for p in pairs])
+    lone.run()
+    for name in ("edge", "path", "far"):
+        assert grown.rows(name) == lone.rows(name)
+    # what was once derived by negation or an aggregate stays
+    assert set(grown.rows("leaf")) == leaves and set(grown.rows("most")) == sizes
+
+
+def test_runs_of_both_paths_agree(spark):
+    """Facts in batches with a run behind each, of lattices, negation, aggregates and symbols."""
+    text = """
+        relation e(int, int, int); lattice sp(int, int, dual int); relation name(int, sym); relation named(sym, int); relation alone(sym); relation n(int);
+        sp(x, y, Dual(w)) <-- e(x, y, w); sp(x, z, Dual(w + l)) <-- e(x, y, w), sp(y, z, ?Dual(l));
+        named(s, l) <-- sp(x, _, ?Dual(l)), name(x, s); alone(s) <-- name(x, s), !e(x, _, _); n(c) <-- agg c = count() in sp(_, _, _);
+    """
+    batches = [[("e", (0, 1, 4)), ("name", (0, "a"))], [("e", (0, 2, 1)), ("e", (2, 1, 2)), ("name", (1, "b"))], [("e", (1, 3, 1)), ("sp", (3, 0, 7))], [], [("name", (2, "c"))]]
+    found = []
+    for rows in (100_000, 0):
+        e, states = Engine.from_source(spark, text, local_rows=rows), []
+        for facts in batches:
+            e.add_facts(facts)
+            extra = e.speculate([("e", (3, 4, 1))])
+            e.run()
+            states.append([e.rows(r) for r in e.relations] + [extra.rows(r) for r in e.relations])
+        found.append(states)
+    assert found[0] == found[1]
+
+
+def test_both_paths_reject_alike(make):
+    e = make('relation n(int, sym); relation b(bool); relation e(int, int); relation d(int); d(x / y) <-- e(x, y);', [("n", (1, "abc")), ("n", (2, "7")), ("b", (True,)), ("e", (6, 3))])
+    for f in ("sum", "min", "max"):
+        with pytest.raises(ColumnType):
+            e.query(f"(x) <-- agg x = {f}(y) in n(_, y)")
+    assert e.query("(x) <-- agg x = count(y) in n(_, y)").rows() == [(2,)] and e.query("(x) <-- agg x = sum(y) in b(y)").rows() == [(1,)]
+    e.run()
+    assert e.rows("d") == [(2,)]
+    assert e.explain("d", ("x",)) == e.explain("d", (1, 2)) == e.explain("d", (None,)) == e.explain("d", (2**70,)) == []
+    few = e.explain("d", (2,), cap=0)
+    assert few == [] and few.truncated and len(e.explain("d", (2,))) == 1
+    with pytest.raises(TypeMismatch):
+        e.query("(x) <-- n(x, s), if x == s")
+    with pytest.raises(Arithmetic):
+        e.query("(x / 0) <-- n(x, _)")
+    e.add_fact("e", (1, 0))
+    with pytest.raises(Arithmetic):
+        e.run()
+    assert e.rows("d") == [(2,)]  # a run that fails changes nothing
+
+
+def test_aggregates_over_the_same_rows_are_one_scan(spark, tmp_path):
+    spark.range(20).selectExpr("id AS a", "id % 3 AS b").write.parquet(f"{tmp_path}/t")
+    e = Engine.from_source(spark, "relation t(int, int); relation out(int, int, int, int); out(a, b, c, d) <-- agg a = count() in t(_, _), agg b = sum(x) in t(x, _), agg c = min(x + y) in t(x, y), agg d = max(b2) in t(_, b2); relation by(int, int, int); by(k, n, m) <-- t(_, k), agg n = count() in t(_, k), agg m = max(x) in t(x, k);", local_rows=0)
+    e.add_dataframe("t", spark.read.parquet(f"{tmp_path}/t"), nulls="trust", distinct=False)
+    e.run()
+    assert scans(e.relation("out")) == 1 and e.rows("out") == [(20, 190, 0, 2)]
+    assert scans(e.relation("by")) == 2 and e.rows("by") == [(0, 7, 18), (1, 7, 19), (2, 6, 17)]
+
+
+def test_a_fault_costs_no_job_of_its_own(spark):
+    e = Engine.from_source(spark, "relation t(int); relation out(int, int); out(x, 100 / x) <-- t(x), if x > 0, let y = 7 % x, if y > 0;", local_rows=0)
+    e.add_dataframe("t", spark.range(20).toDF("a"), nulls="trust", distinct=False)
+    spark.sparkContext.setJobGroup("faults", "faults")
+    e.run()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("faults")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2  # one query: the map stage of its shuffle, and the write
+    assert len(e.rows("out")) == 17
+
+
+def test_free_deletes_what_was_stored(spark):
+    e = Engine.from_source(spark, TC, local_rows=0)
+    e.add_facts(edges((1, 2), (2, 3)))
+    e.run()
+    files = [p.removeprefix("file://").removeprefix("file:") for p in e.relation("path").inputFiles()]
+    assert files and all(map(os.path.exists, files))
+    e.free()
+    assert e.rows("path") == [] and not any(map(os.path.exists, files))
+
+
+def test_a_store_of_facts(make):
+    from lakelog.store import FactStore
+
+    def ask(store: FactStore, text):
+        q = store.parse_query(text)
+        store.check(q)
+        return store.eval(q, 10)
+
+    rows, why = ask(make(TC, edges((1, 2), (1, 3))), "(x) <-- edge(x, _)")
+    assert [tuple(r) for r in rows.collect()] == [(1,)] and len(why.first().justifications) == 2

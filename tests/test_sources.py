@@ -6,7 +6,7 @@ from lakelog.sources.parquet import ParquetSource, elements, facts
 from lakelog.sources.source import PredicateDescriptor, RowsSource
 from lakelog.streaming.ingest import run_on_stream
 
-SYMBOL = PredicateDescriptor(1, "tree_sitter.symbol", ("sym", "int"), "symbols and where they are", "07" * 32)
+SYMBOL = PredicateDescriptor(1, "parser.symbol", ("sym", "int"), "symbols and where they are", "07" * 32)
 
 
 def test_drift_in_order():
@@ -27,7 +27,7 @@ def test_rows_source(spark):
     assert e.ingest(source) == source.content_id()
     assert e.run().rows("big") == [("beta",)] and e.rows("symbol") == [("alpha", 10), ("beta", 20)]
     assert RowsSource([d], [(1, ("alpha", 11))]).content_id() != source.content_id()
-    with pytest.raises(SchemaError):
+    with pytest.raises(ColumnTypeDrift):
         Engine.from_source(spark, "relation symbol(int, int);").ingest(source)
     with pytest.raises(SchemaError):
         Engine.from_source(spark, "relation other(int);").ingest(source)
@@ -80,3 +80,33 @@ def test_stream(spark, tmp_path):
     q = run_on_stream(e, "edge", stream, lambda engine, n: seen.append(n), checkpoint=f"{tmp_path}/ck", availableNow=True)
     q.awaitTermination()
     assert len(seen) >= 2 and e.rows("hop") == [(1, 3), (2, 4)]
+    # a new engine goes on where the one before ended
+    spark.createDataFrame([(4, 5)], "a long, b long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    e = Engine.from_source(spark, "relation edge(int, int); relation hop(int, int); hop(x, z) <-- edge(x, y), edge(y, z);", local_rows=0)
+    q = run_on_stream(e, "edge", stream, checkpoint=f"{tmp_path}/ck", availableNow=True)
+    q.awaitTermination()
+    assert e.rows("hop") == [(1, 3), (2, 4), (3, 5)]
+
+
+def test_content_ids_are_of_the_facts(spark, tmp_path):
+    df = spark.range(50).selectExpr("id AS a", "concat('x', id) AS b")
+    df.repartition(3).write.parquet(f"{tmp_path}/one")
+    df.coalesce(1).write.parquet(f"{tmp_path}/two")
+    df.filter("a > 0").write.parquet(f"{tmp_path}/less")
+    one, two, less = (ParquetSource(spark, {"t": (f"{tmp_path}/{x}", ["a", "b"], "rows")}).content_id() for x in ("one", "two", "less"))
+    assert one == two != less
+
+
+def test_drift_of_tables_and_batches(spark, tmp_path):
+    spark.range(3).selectExpr("id AS a", "id AS b").write.parquet(f"{tmp_path}/one")
+    spark.range(3).selectExpr("id AS a", "id AS c").write.parquet(f"{tmp_path}/renamed")
+    one = ParquetSource(spark, {"t": (f"{tmp_path}/one", ["a", "b"], "rows")})
+    with pytest.raises(FingerprintDrift):
+        ParquetSource(spark, {"t": (f"{tmp_path}/renamed", ["a", "c"], "rows")}, declared=one.schema())
+    with pytest.raises(ArityDrift):
+        ParquetSource(spark, {"t": (f"{tmp_path}/renamed", ["a", "b"], "rows")})
+    e = Engine.from_source(spark, "relation t(int, int);")
+    e.ingest(one)
+    with pytest.raises(FingerprintDrift):  # the first batch's fingerprint holds for later ones
+        e.ingest(ParquetSource(spark, {"t": (f"{tmp_path}/renamed", ["a", "c"], "rows")}))
+    assert e.relation("t").count() == 3

@@ -12,8 +12,9 @@ Scoring: one scan, forward-backward over every sentence of every document.  A do
 score is the largest marginal of its words; documents that reach ``threshold`` are
 reported with the spans of words that do, in character offsets of the text.
 
-Defined cases: null and empty texts score 0 and are not reported; labels that are null or
-have no document are ignored; without any toxic label in the sample nothing is reported;
+Defined cases: null and empty texts score 0 and are not reported; labels that are null, that
+contradict each other or that have no document are ignored; of a sampled document that comes
+in many rows, the sample takes no more than twice ``max_toxic + max_clean`` rows in all; without any toxic label in the sample nothing is reported;
 rows with a null doc_id are reported with it; repeated rows are reported as often as they
 come; only doc_id, text, and doc_id, toxic of the labels are read.
 """
@@ -128,7 +129,8 @@ def narrow(units: np.ndarray) -> np.ndarray:
 
 def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels of at most so many documents; of each class those of least hash of their id."""
-    known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").distinct()
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
+    known = known.filter("toxic = most").drop("most")
     pick = lambda t, n: known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = pick(1, max_toxic).unionByName(pick(0, max_clean))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")

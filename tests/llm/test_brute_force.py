@@ -604,3 +604,148 @@ def test_short_items_with_one_substitution(spark):
             docs.append((len(docs), f"{sentence(r, 9)} {' '.join(w[:p] + ['other'] + w[p + 1:])} {sentence(r, 9)}"))
     got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, 0 if i < 6 else 1) for i, _ in docs} == b_leaks(docs, items)
+
+
+# ---- toxicity and HTML, step by step
+
+def b_marginals(emit, crf):
+    """The probability of tag 1 at each place, over all sequences of tags."""
+    weights = {}
+    for tags in itertools.product([0, 1], repeat=len(emit)):
+        s = sum(e for e, t in zip(emit, tags) if t) + (crf.start if tags[0] else 0) + sum(crf.move[a, b] for a, b in zip(tags, tags[1:]))
+        weights[tags] = math.exp(s)
+    return [sum(w for t, w in weights.items() if t[k]) / sum(weights.values()) for k in range(len(emit))], max(weights, key=weights.get)
+
+
+def test_toxic_spans_by_enumeration(spark):
+    """Features of single words, all sequences of tags of a sentence, offsets of the text itself."""
+    r = random.Random(8)
+    words = "Idiot idiotic calm Straße river ÉCOLE stone 😀smile cloud grim grimly".split()
+    docs = [(k, "\n".join(" ".join(r.choice(words) for _ in range(r.randint(1, 6))) + r.choice([".", "! ", ""]) for _ in range(r.randint(1, 4)))) for k in range(25)]
+    crf = Crf(toxicity.FEATURES)
+    crf.bias, crf.start, crf.move = -0.7, 0.3, np.array([[0.2, -0.4], [0.1, 0.5]])
+    used = {}
+    for w in words:
+        units = toxicity.unit_hashes(toxicity.Words(pa.array([w])))
+        assert len(units) == 1
+        used[w.lower()] = toxicity.narrow(toxicity.feature_index(units, 1 << 24))[0]
+    for name, value in {"idiot": 2.0, "idiotic": 1.0, "grim": 1.5, "straße": 1.0}.items():
+        for i in used[name]:
+            crf.weights[i] += value / 3 if i else 0
+    want = {}
+    for i, t in docs:
+        p, at = [], []
+        for line in re.finditer(r"[^\n]+", t):
+            for s in re.finditer(r".+?(?:[.!?](?=\s|$)|$)", line.group()):
+                found = list(re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", s.group()))
+                if found:
+                    base = line.start() + s.start()
+                    p.append(b_marginals([crf.bias + sum(crf.weights[used[m.group().lower()]]) for m in found], crf)[0])
+                    at.append([(base + m.start(), base + m.end()) for m in found])
+        flat = [x for s in p for x in s]
+        if max(flat) >= 0.5:
+            spans, before = [], False
+            for x, (a, b) in zip(flat, [x for s in at for x in s]):
+                if x >= 0.5:
+                    spans = [*spans[:-1], (spans[-1][0], b)] if before else [*spans, (a, b)]
+                before = x >= 0.5
+            want[i] = (max(flat), sum(x >= 0.5 for x in flat), spans)
+    got = {x.doc_id: (x.score, x.n_toxic, [tuple(s) for s in x.spans]) for x in toxicity.toxic_spans(frame(spark, docs), crf).collect()}
+    assert got.keys() == want.keys() and 5 < len(want)
+    for i, (score, n, spans) in want.items():
+        assert got[i][0] == pytest.approx(score, abs=1e-5) and got[i][1:] == (n, spans)
+
+
+def test_token_labels_by_counting():
+    r = random.Random(9)
+    toxic = np.array([int(k % 3 == 0) for k in range(60)])
+    of = np.repeat(np.arange(60), 8)
+    units = np.array([[r.randint(0, 12), r.randint(0, 6), r.randint(1, 3)] for _ in of])
+    for k in range(len(of)):
+        if toxic[of[k]] and r.random() < 0.6:
+            units[k, 0] = 77  # in most toxic documents and in no other
+    near = np.array([r.randint(0, 200) for _ in of])
+    tags = np.zeros(len(of), bool)
+    prior = toxic.mean()
+    for k in (0, 1):
+        for u in set(units[:, k]) - {0}:
+            at = [i for i in range(len(of)) if units[i, k] == u]
+            docs = {of[i] for i in at}
+            bad = sum(toxic[d] for d in docs)
+            good = len(docs) - bad
+            likely = sum(n * math.log(n / len(docs)) for n in (bad, good) if n) if bad and good else 0.0
+            if bad * math.log(prior) + good * math.log(1 - prior) - likely < math.log(1e-6) and bad >= 0.9 * len(docs) and len({near[i] for i in at}) >= 0.5 * len(docs):
+                for i in at:
+                    tags[i] |= bool(toxic[of[i]])
+    got = toxicity.term_tags(units, of, toxic, near)
+    assert (got == tags).all() and 50 < tags.sum() == (units[:, 0] == 77).sum()
+
+
+def test_contradicting_labels_are_left_out(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (3, 0)], "doc_id long, toxic int")
+    texts, toxic = toxicity.sample(frame(spark, [(k, f"text {k}") for k in range(5)]), labels)
+    assert dict(zip(texts.to_pylist(), toxic.tolist())) == {"text 2": 1, "text 3": 0}
+
+
+def test_page_labels_and_content_by_enumeration(spark):
+    """The document of most shared weight labels a page; content is the best of all sequences of tags."""
+    r = random.Random(10)
+    docs = [(k, "\n".join(sentence(r, 5) for _ in range(4))) for k in range(12)]
+    docs += [(50 + k, docs[0][1]) for k in range(30)]  # many copies of one
+    shared = "share this page"
+    docs = [(i, f"{t}\n{shared}" if i % 2 else t) for i, t in docs]
+    pages = [(k, f"<nav><a>home</a> {k}</nav><p>{shared}</p>" + "".join(f"<p>{x}</p>" for x in docs[k][1].split("\n")[:3]) + f"<p>{docs[(k + 1) % 12][1].split(chr(10))[0]}</p>") for k in range(12)]
+    df, pf = frame(spark, docs), spark.createDataFrame(pages, "page_id long, html string")
+    lines = {p: [b.text for b in html_extract.blocks(h)] for p, h in pages}
+    every = {x for ls in lines.values() for x in ls}
+    sets = {}
+    for i, t in docs:
+        own = frozenset(x.strip() for x in t.split("\n")) & every
+        if own:
+            sets[own] = min(i, sets.get(own, i))
+    weight = {x: round(math.log(1 + len(sets) / sum(x in s for s in sets)) * 1e6) for x in every if any(x in s for s in sets)}
+    want = {}
+    for p, h in pages:
+        best = max(sets, key=lambda s: (sum(weight[x] for x in lines[p] if x in s), -sets[s]))
+        want[h] = [int(x in best) for x in lines[p]]
+    labelled = html_extract.labelled_pages(pf, df)
+    assert {h: tags.tolist() for h, tags in labelled} == want
+    crf = html_extract.train(labelled)
+    got = {x.page_id: x for x in html_extract.extract(pf, crf).collect()}
+    for p, h in pages:
+        found = html_extract.blocks(h)
+        tags = b_marginals([crf.bias + sum(crf.weights[i] for i in row) for row in html_extract.features(found)], crf)[1]
+        assert got[p].text == "\n".join(b.text for b, t in zip(found, tags) if t) and got[p].n_content == sum(tags) and got[p].n_blocks == len(found)
+
+
+# ---- boundary cases of the pipeline
+
+def test_pipeline_of_rows_of_all_kinds(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(15)
+    plain = [" ".join(sentence(r, 8) for _ in range(3)) for _ in range(4)]
+    long = " ".join(f"word{i % 977} the" for i in range(30_000)) + "."
+    rows = [(1, plain[0]), (2, plain[1]), (2, plain[1]), (3, None), (None, plain[2]), (None, None), (4, ""), (5, "  \n "), (6, long), (7, "One."), (8, plain[0].upper()), (9, plain[3])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __text string, label string, fp string"
+    spark.createDataFrame([(i, t, None, None, None, "x", "y", "z") for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, plain[3]), (None, plain[0]), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == corpus_pipeline.COLUMNS
+        path = f"{tmp_path}/stage-{len(kept)}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        kept.append(sorted((x.doc_id is None, x.doc_id or 0) for x in docs.select("doc_id").collect()))
+    null = (True, 0)
+    ids = lambda *x: [(False, i) for i in x]
+    assert kept[0] == [*ids(1, 2, 2, 6, 7, 9), null]  # no text, blank, capitals
+    # rows that repeat in full are one document that is written as often as it came
+    assert kept[1] == kept[2] == [*ids(1, 2, 2, 6, 7, 9), null] and kept[3] == [*ids(1, 2, 2, 6, 7), null]
+    spans = [s.doc_id for w in corpus_pipeline.run(spark, str(tmp_path)).collect() for s in w.spans]
+    assert set(spans) == {None, 1, 2, 6, 7} and spans.count(6) > 10
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

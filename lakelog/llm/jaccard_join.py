@@ -21,13 +21,14 @@ buckets; buckets have a fixed number of entries.  Signatures with grams that the
 counts beyond ``HOT`` are spread over several buckets, and lists of more than ``PART`` sets
 are kept in parts, so that no task holds a whole hot list.
 
-Sets that meet are checked exactly in two rounds, so that a group of m near copies costs
-about m checks and not m * m: first each set against the leader it shares most with; then,
-of what isn't connected yet, every pair whose count of shared prefix grams allows the
-threshold.  Only texts of sets that are checked are shuffled, compressed, and are read
-again in slices of bounded size.  No meeting is left out, so the components are exact (up
-to collisions of 64-bit hashes; shorter ones only add checks, the order only decides the
-cost).
+Sets that share enough lists with a leader make clusters.  Within a cluster all sets are
+compared exactly, by products of matrices, block by block, so that links between m near
+copies are all counted without m * m rows; links to copies count without being listed.
+Across clusters every pair whose count of shared prefix grams allows the threshold is
+checked exactly.  Only texts of sets that are compared are shuffled, compressed, and are read
+again in slices of bounded size.  No meeting is left out, so components and counts of links
+are exact (up to collisions of 64-bit hashes; shorter ones only add checks, the order only
+decides the cost).
 
 With n = 5 and a threshold of 0.5 a copy is found if two thirds of its grams are left:
 when up to about 7 % of its words, evenly spread, were replaced.
@@ -35,7 +36,7 @@ when up to about 7 % of its words, evenly spread, were replaced.
 Defined cases: null and empty texts have no grams and are in no group; a text of 1 to
 n-1 words has one gram, all its words; repeated rows count once per doc_id; rows with a
 null doc_id are in no group and are kept; an empty table gives no groups; only doc_id and
-text are read.
+text are read.  A doc_id of several texts has the links of all of them.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakelog.llm.storage import persist
@@ -68,6 +69,12 @@ PART = 4096
 FILTER_BITS = 26
 #: Pairs of sets that are looked at at a time.
 PAIRS = 200_000
+#: Sets and grams of a block; blocks of a cluster are compared two by two.
+TILE = 2048
+TILE_GRAMS = 1 << 20
+#: What a pair counted by itself costs, in pairs counted by a product of matrices, and grams of a product.
+DENSE = 100
+COLUMNS = 1024
 #: A set by the lower bits of its fingerprint; sets that share them are told apart when checked.
 SET_BITS = 39
 #: What a shared 2-subset counts: it is enough by itself.
@@ -429,16 +436,18 @@ def _stars(lists: DataFrame) -> DataFrame:
     return edges.union(linked).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
-def _across(lists: DataFrame, known: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b): pairs of different components whose count of shared prefix grams allows the threshold."""
-    rows = lists.select("key", "part", "shared", "long", F.explode("sids").alias("sid"))
-    member = F.struct("fp", "size", "label")
-    tagged = rows.join(known, "sid").groupBy("key", "part", "shared", "long").agg(F.collect_list(member).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    short = tagged.filter("NOT long AND lo <> hi").select("shared", "m", F.lit(None).cast("array<struct<fp:long,size:int,label:long>>").alias("other"))
+def _across(lists: DataFrame, known: DataFrame, threshold: float, k: int, part: int) -> DataFrame:
+    """(a, b): pairs of different clusters whose count of shared prefix grams allows the threshold."""
+    rows = lists.select("key", "part", "shared", "long", F.explode("sids").alias("sid")).join(known, "sid")
+    # long lists are cut anew in the order of clusters, so that most parts are of one
+    mixed = rows.filter("long").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("label", "fp")) - 1
+    cut = rows.filter("long").join(mixed, "key", "left_semi").withColumn("part", F.floor(place / part).cast("long"))
+    member = F.struct("label", "fp", "size")
+    tagged = [x.groupBy("key", "part", "shared").agg(F.sort_array(F.collect_list(member)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")) for x in (rows.filter("NOT long"), cut)]
+    short = tagged[0].filter("lo <> hi").select("shared", "m", F.lit(None).cast("array<struct<label:long,fp:long,size:int>>").alias("other"))
     # parts of long lists meet in pairs, and each with itself
-    long = persist(tagged.filter("long"), "long")
-    ends = long.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("key")
-    long = long.join(ends, "key", "left_semi")
+    long = persist(tagged[1], "long")
     other = long.select("key", F.col("part").alias("part2"), F.col("m").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     met = long.join(other, "key").filter("part <= part2 AND least(lo, lo2) <> greatest(hi, hi2)")
     met = met.select("shared", "m", F.when(F.col("part") < F.col("part2"), F.col("other")).alias("other"))
@@ -449,23 +458,27 @@ def _across(lists: DataFrame, known: DataFrame, threshold: float, k: int) -> Dat
             begin, n1 = m.offsets.to_numpy()[:-1] - m.offsets.to_numpy()[0], np.diff(m.offsets.to_numpy())
             begin2, n2 = other.offsets.to_numpy()[:-1] - other.offsets.to_numpy()[0] + n1.sum(), np.diff(other.offsets.to_numpy())
             same = other.is_null().to_numpy(zero_copy_only=False)
-            begin2, n2 = np.where(same, begin, begin2), np.where(same, n1, n2)
-            f, z, g = (np.concatenate([m.flatten().field(c).to_numpy(), other.flatten().field(c).to_numpy()]) for c in range(3))
+            g, f, z = (np.concatenate([m.flatten().field(c).to_numpy(), other.flatten().field(c).to_numpy()]) for c in range(3))
             shared = batch.column(0).to_numpy()
-            # each member with all of the other side, so many at a time
+            # each member with all of the other side, so many at a time; within a list, with
+            # what comes after its own cluster, as members are sorted by cluster
             row = np.repeat(np.arange(batch.num_rows), n1)
-            todo = np.cumsum(n2[row])
+            mine = np.arange(len(row))
+            last = np.ones(len(row), bool)
+            last[:-1] = (row[1:] != row[:-1]) | (g[: len(row)][1:] != g[: len(row)][:-1])
+            after = (np.flatnonzero(last) + 1)[np.cumsum(last) - last]
+            start = np.where(same[row], after, begin2[row])
+            count = np.where(same[row], (begin + n1)[row] - after, n2[row])
+            todo = np.cumsum(count)
             at = 0
             while at < len(row):
                 end = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + PAIRS, "right")))
-                times = n2[row[at:end]]
-                p = np.repeat(np.arange(at, end), times)
+                times = count[at:end]
+                p = np.repeat(mine[at:end], times)
                 r = row[p]
-                q = begin2[r] + np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times)
-                ok = np.flatnonzero((g[p] != g[q]) & (~same[r] | (f[p] < f[q])))
-                p, q, r = p[ok], q[ok], r[ok]
+                q = start[p] + np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times)
                 zs, zl = np.minimum(z[p], z[q]), np.maximum(z[p], z[q])
-                ok = zs >= threshold * zl - 1e-9
+                ok = np.flatnonzero((g[p] != g[q]) & (zs >= threshold * zl - 1e-9))
                 p, q, r, zs, zl = p[ok], q[ok], r[ok], zs[ok], zl[ok]
                 need = np.ceil((zs + zl) * (threshold / (1 + threshold)) - 1e-9) - np.maximum(np.ceil(zl * threshold - 1e-9) - k, 0)
                 need = np.minimum(np.maximum(need, 1), zs).astype(np.int32)
@@ -476,15 +489,123 @@ def _across(lists: DataFrame, known: DataFrame, threshold: float, k: int) -> Dat
     return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("a", "b")
 
 
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, k: int = K, hot: int = HOT, part: int = PART) -> DataFrame:
-    """(doc_id, group_id, n_docs) of every document that is joined with another one; group_id
-    is the least doc_id of its group, n_docs the number of its documents."""
+def overlaps(grams: np.ndarray, of: np.ndarray, left: int, right: int) -> np.ndarray:
+    """How many grams each of the sets 0 to left-1 shares with each of those from left on.
+    ``of``: the set of each gram.  Frequent grams are multiplied as matrices, the others
+    are counted pair by pair, whichever costs less."""
+    out = np.zeros((left, right), np.float32)
+    by = np.lexsort((of, grams))
+    grams, of = grams[by], of[by]
+    head = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    n = np.diff(np.append(head, len(grams)))
+    n1 = np.add.reduceat(of < left, head, dtype=np.int64) if len(head) else n
+    keep = (n1 > 0) & (n1 < n)
+    head, n1, n2 = head[keep], n1[keep], (n - n1)[keep]
+    dense = n1 * n2 * DENSE > left * right
+    a, b, m1, m2 = head[dense], (head + n1)[dense], n1[dense], n2[dense]
+    for at in range(0, len(a), COLUMNS):
+        x, y = (np.zeros((rows, min(COLUMNS, len(a) - at)), np.float32) for rows in (left, right))
+        for matrix, begin, count, base in ((x, a, m1, 0), (y, b, m2, left)):
+            begin, count = begin[at : at + COLUMNS], count[at : at + COLUMNS]
+            places = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+            matrix[of[places] - base, np.repeat(np.arange(len(count)), count)] = 1
+        out += x @ y.T
+    a, b, m1, m2 = head[~dense], (head + n1)[~dense], n1[~dense], n2[~dense]
+    todo = np.cumsum(m1 * m2)
+    at = 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + PAIRS, "right")))
+        times = (m1 * m2)[at:end]
+        g = np.repeat(np.arange(at, end), times)
+        k = np.arange(len(g)) - np.repeat(np.cumsum(times) - times, times)
+        np.add.at(out.reshape(-1), of[a[g] + k // m2[g]] * right + of[b[g] + k % m2[g]] - left, np.float32(1))
+        at = end
+    return out
+
+
+def forest(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the true places of ``ok`` (rows, columns), that connect all that it connects."""
+    turned = np.ascontiguousarray(ok.T)
+    new = [ok.any(1), ok.any(0)]
+    rows, columns = [], []
+    for start in np.flatnonzero(new[0]).tolist():
+        stack = [(0, start)] if new[0][start] else []
+        new[0][start] = False
+        while stack:
+            side, v = stack.pop()
+            found = np.flatnonzero((turned if side else ok)[v] & new[1 - side])
+            new[1 - side][found] = False
+            for x, y in ((rows, columns),) if not side else ((columns, rows),):
+                x.append(np.full(len(found), v))
+                y.append(found)
+            stack += [(1 - side, w) for w in found.tolist()]
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(rows + empty), np.concatenate(columns + empty)
+
+
+def _within(docs: DataFrame, known: DataFrame, n: int, threshold: float, tile: int, most: int) -> DataFrame:
+    """All sets of each cluster compared with each other: (a, b, null) for links that connect
+    all that is linked, and (a, null, n) for the n documents of other sets that a is linked
+    with, in parts.  ``known``: (fp, size, rid, copies, label).  A cluster is cut into blocks of
+    about ``tile`` sets or ``most`` grams, of which each two meet in a task of their own."""
+    many = known.groupBy("label").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).filter("m > 1")
+    many = persist(many.withColumn("blocks", F.ceil(F.greatest(F.col("m") / tile, F.col("grams") / most)).cast("int")), "clusters")
+    # small clusters share tasks
+    bins = max(1, math.ceil((many.filter("blocks = 1").agg(F.sum("grams")).first()[0] or 0) / most))
+    rows = known.join(many, "label").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bin_ = F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bins)))
+    rows = rows.select("rid", bin_.alias("bin"), F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "label", "fp", "copies", "block")
+    texts = _texts(docs, known.join(many, "label", "left_semi").select("rid"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        rows = rows.sort_by([("label", "ascending"), ("block", "ascending")])
+        label, fp, copies, block = (rows.column(c).to_numpy() for c in ("label", "fp", "copies", "block"))
+        found = [_sets(b.column(0), n)[:3] for b in chunks(rows.select(["text"]).to_batches())]
+        grams, size = (np.concatenate([x[c] for x in found]) for c in (0, 2))
+        first = np.concatenate([[0], np.cumsum(size)])
+        cut = np.append(np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])), len(label))
+        out = [(np.zeros(0, np.int64),) * 2]
+        counts = [(np.zeros(0, np.int64),) * 2]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            mid = hi if i == j else lo + int((block[lo:hi] == i).sum())
+            g, of = grams[first[lo] : first[hi]], np.repeat(np.arange(hi - lo), size[lo:hi])
+            if i == j:  # the cluster meets itself
+                both = overlaps(np.tile(g, 2), np.concatenate([of, of + (hi - lo)]), hi - lo, hi - lo)
+                right = slice(lo, hi)
+            else:
+                both = overlaps(g, of, mid - lo, hi - mid)
+                right = slice(mid, hi)
+            left = slice(lo, mid)
+            ok = both / (size[left][:, None] + size[right][None, :] - both) >= threshold - 1e-12
+            if i == j:
+                np.fill_diagonal(ok, False)
+            r, c = forest(ok)
+            out.append((fp[left][r], fp[right][c]))
+            counts.append((fp[left], ok @ copies[right]))
+            if i != j:
+                counts.append((fp[right], ok.T @ copies[left]))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        f, m = (np.concatenate(x) for x in zip(*counts))
+        f, m = f[m > 0], m[m > 0]
+        return pa.table({"a": np.concatenate([a, f]), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(f), pa.int64())]), "n": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(m, pa.int64())])})
+
+    shipped = rows.join(texts.hint("merge"), "rid").select("bin", "i", "j", "label", "fp", "copies", "block", "text")
+    return persist(shipped.groupBy("bin", "i", "j").applyInArrow(run, "a long, b long, n long"), "within")
+
+
+def _joined(docs: DataFrame, n: int, threshold: float, k: int, hot: int, part: int, tile: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, label of the component) of all documents with grams, and (fp, n): the
+    documents of other sets that a set is linked with, in parts."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
     scanned = persist(_scan_sets(docs, n), "scanned")
-    ids = scanned.filter("block IS NULL").select("doc_id", "fp")
+    ids = scanned.filter("block IS NULL").select("doc_id", "fp").distinct()
     sketch = _sketch(scanned)
-    sets = persist(scanned.filter("block IS NULL").groupBy("fp").agg(F.max("size").alias("size"), F.min("rid").alias("rid")), "sets")
+    sets = scanned.filter("block IS NULL").groupBy("fp", "doc_id").agg(F.max("size").alias("size"), F.min("rid").alias("rid"))
+    sets = persist(sets.groupBy("fp").agg(F.max("size").alias("size"), F.min("rid").alias("rid"), F.count("*").alias("copies")), "sets")
     sizes: dict[int, int] = {}
     total = 0.0
     for r in sets.groupBy(F.least("size", F.lit(64)).alias("size")).agg(F.count("*").alias("n"), F.sum("size").alias("grams")).collect():
@@ -497,22 +618,43 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, k: int = K
     met = _lists(docs, n, threshold, k, x, buckets, spark.sparkContext.broadcast(sketch), hot, part)
     lists = persist(met.groupBy("key", "part", "long").agg(F.sum("shared").alias("shared"), F.min("lead").alias("lead"), F.first("sids").alias("sids")), "lists")
 
+    # clusters: sets and the leaders they may be linked with, by the counts alone
     sid = F.col("fp").bitwiseAND(F.lit((1 << SET_BITS) - 1)).alias("sid")
-    ends = [sets.select(sid.alias(c), F.col("fp").alias(f"f{c}"), F.col("size").alias(f"z{c}"), F.col("rid").alias(f"r{c}")) for c in "ab"]
+    ends = [sets.select(sid.alias(c), F.col("fp").alias(f"f{c}"), F.col("size").alias(f"z{c}")) for c in "ab"]
     star = _stars(lists).filter(F.col("shared") >= k).join(ends[0], "a").join(ends[1], "b").filter(F.col("shared") >= _need(F.col("za"), F.col("zb"), threshold, k))
-    best = star.groupBy("fa").agg(F.max_by(F.struct("ra", "fb", "rb"), F.struct("shared", "fb")).alias("to"))
-    first = _verified(docs, best.select(F.col("fa").alias("a"), F.col("to.fb").alias("b"), F.col("to.ra").alias("ra"), F.col("to.rb").alias("rb")), n, threshold)
-    labels = components(first)
+    clusters = components(star.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    known = persist(sets.join(clusters, "fp", "left").select(sid, "fp", "size", "rid", "copies", F.coalesce("label", "fp").alias("label")), "known")
+    within = _within(docs, known.drop("sid"), n, threshold, tile, most)
 
-    # round 2: lists with sets of several components; pairs across them that the counts allow
-    known = persist(sets.join(labels, "fp", "left").select(sid, "fp", "size", F.coalesce("label", "fp").alias("label")), "known")
-    pairs = _across(lists, known, threshold, k)
+    # pairs across clusters that the counts allow
+    pairs = _across(lists, known.select("sid", "fp", "size", "label"), threshold, k, part)
     rows = [sets.select(F.col("fp").alias(c), F.col("rid").alias(f"r{c}")) for c in "ab"]
-    second = _verified(docs, pairs.join(rows[0], "a").join(rows[1], "b").select("a", "b", "ra", "rb"), n, threshold)
-    labels = components(first.union(second))
-    of = ids.join(labels, "fp", "left").select("doc_id", F.coalesce("label", "fp").alias("label")).distinct()
-    named = of.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")).filter("n_docs > 1")
-    return of.join(named, "label").select("doc_id", "group_id", "n_docs")
+    across = _verified(docs, pairs.join(rows[0], "a").join(rows[1], "b").select("a", "b", "ra", "rb"), n, threshold).select("a", "b")
+    labels = components(within.filter("b IS NOT NULL").select("a", "b").union(across))
+    of = ids.join(labels, "fp", "left").select("doc_id", "fp", F.coalesce("label", "fp").alias("label"))
+    copies = sets.select(F.col("fp").alias("b"), F.col("copies").alias("n"))
+    linked = across.union(across.select("b", "a")).join(copies, "b").select(F.col("a").alias("fp"), "n")
+    own = sets.select("fp", (F.col("copies") - 1).alias("n"))
+    return of, within.filter("b IS NULL").select(F.col("a").alias("fp"), "n").union(linked).union(own)
+
+
+def _named(of: DataFrame) -> DataFrame:
+    """(label, group_id, n_docs) of components of more than one document."""
+    return of.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.countDistinct("doc_id").alias("n_docs")).filter("n_docs > 1")
+
+
+def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, k: int = K, hot: int = HOT, part: int = PART, tile: int = TILE, most: int = TILE_GRAMS) -> DataFrame:
+    """(doc_id, group_id, n_docs) of every document that is joined with another one; group_id
+    is the least doc_id of its group, n_docs the number of its documents."""
+    of, _ = _joined(docs, n, threshold, k, hot, part, tile, most)
+    return of.select("doc_id", "label").distinct().join(_named(of), "label").select("doc_id", "group_id", "n_docs")
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, k: int = K, hot: int = HOT, part: int = PART, tile: int = TILE, most: int = TILE_GRAMS) -> DataFrame:
+    """``groups`` with n_links: the number of documents that a document itself is joined with."""
+    of, counts = _joined(docs, n, threshold, k, hot, part, tile, most)
+    mine = of.join(counts.groupBy("fp").agg(F.sum("n").alias("n")), "fp").groupBy("doc_id", "label").agg(F.sum("n").alias("n_links"))
+    return mine.join(_named(of), "label").select("doc_id", "group_id", "n_docs", "n_links")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -524,7 +666,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: all documents joined with each other; one row for each that has a partner."""
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = f"""
@@ -536,5 +678,5 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.
 e AS (SELECT a, b FROM o JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id = b WHERE o >= {THRESHOLD} * (za.z + zb.z - o) - 1e-9),
 r AS (SELECT a AS doc_id, a AS top FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.top),
 c AS (SELECT doc_id, min(top) AS group_id FROM r GROUP BY 1)
-SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS n_docs FROM c
+SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS n_docs, (SELECT count(*) FROM e WHERE e.a = c.doc_id) AS n_links FROM c
 """

@@ -69,9 +69,11 @@ PART = 4096
 FILTER_BITS = 26
 #: Pairs of sets that are looked at at a time.
 PAIRS = 200_000
+#: A set is put to the cluster of its best leader from this part of the count on that a link needs.
+LEAN = 4
 #: Sets and grams of a block; blocks of a cluster are compared two by two.
-TILE = 2048
-TILE_GRAMS = 1 << 20
+TILE = 1024
+TILE_GRAMS = 1 << 19
 #: What a pair counted by itself costs, in pairs counted by a product of matrices, and grams of a product.
 DENSE = 100
 COLUMNS = 1024
@@ -621,8 +623,10 @@ def _joined(docs: DataFrame, n: int, threshold: float, k: int, hot: int, part: i
     # clusters: sets and the leaders they may be linked with, by the counts alone
     sid = F.col("fp").bitwiseAND(F.lit((1 << SET_BITS) - 1)).alias("sid")
     ends = [sets.select(sid.alias(c), F.col("fp").alias(f"f{c}"), F.col("size").alias(f"z{c}")) for c in "ab"]
-    star = _stars(lists).filter(F.col("shared") >= k).join(ends[0], "a").join(ends[1], "b").filter(F.col("shared") >= _need(F.col("za"), F.col("zb"), threshold, k))
-    clusters = components(star.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    star = _stars(lists).filter(F.col("shared") >= k).join(ends[0], "a").join(ends[1], "b").withColumn("need", _need(F.col("za"), F.col("zb"), threshold, k))
+    star = persist(star.filter(F.col("shared") * LEAN >= F.col("need")).select("fa", "fb", "shared", "need"), "stars")
+    best = star.groupBy("fa").agg(F.max_by("fb", F.struct("shared", "fb")).alias("fb"))
+    clusters = components(star.filter("shared >= need").select("fa", "fb").union(best).toDF("a", "b"))
     known = persist(sets.join(clusters, "fp", "left").select(sid, "fp", "size", "rid", "copies", F.coalesce("label", "fp").alias("label")), "known")
     within = _within(docs, known.drop("sid"), n, threshold, tile, most)
 

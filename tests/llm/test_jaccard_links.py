@@ -1,4 +1,4 @@
-"""Links of the Jaccard join against brute force."""
+"""Links of the Jaccard join against brute force, and what a growing group of near copies costs."""
 
 import itertools
 import random
@@ -40,6 +40,24 @@ def test_links(spark, n, threshold, how):
     assert len(rows) == len({x.doc_id for x in rows}) and joined(out) == b_groups(docs, n, threshold)
 
 
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    """Pairs that are shipped one by one don't grow with the square of a group of near copies."""
+    shipped = []
+    persist = jaccard_join.persist
+
+    def counted(df, name, *a):
+        out = persist(df, name, *a)
+        if name == "pairs":
+            shipped.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "persist", counted)
+    r = random.Random(1)
+    docs = list(enumerate(near_copies(r, 300)))
+    assert joined(jaccard_join.groups(frame(spark, docs))) == b_groups(docs)
+    assert sum(shipped) < 2 * len(docs)
+
+
 @pytest.mark.parametrize("dense", [0, 100, 10**9])
 def test_overlaps_and_forest(dense, monkeypatch):
     monkeypatch.setattr(jaccard_join, "DENSE", dense)

@@ -58,6 +58,27 @@ def test_pairs_of_a_large_group(spark, monkeypatch):
     assert sum(shipped) < 2 * len(docs)
 
 
+def test_stage_with_a_large_group(spark, monkeypatch):
+    """The pipeline's stage keeps one of a group without shipping its pairs one by one."""
+    import corpus_pipeline
+
+    shipped = []
+    persist = jaccard_join.persist
+
+    def counted(df, name, *a):
+        out = persist(df, name, *a)
+        if name == "pairs":
+            shipped.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "persist", counted)
+    docs = list(enumerate(near_copies(random.Random(2), 200)))
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, table, "").collect()}
+    assert kept == {i for i, _ in docs} - {i for g, m in b_groups(docs).items() for i in m if i != g}
+    assert sum(shipped) < 2 * len(docs)
+
+
 @pytest.mark.parametrize("dense", [0, 100, 10**9])
 def test_overlaps_and_forest(dense, monkeypatch):
     monkeypatch.setattr(jaccard_join, "DENSE", dense)

@@ -81,6 +81,8 @@ COLUMNS = 1024
 SET_BITS = 39
 #: What a shared 2-subset counts: it is enough by itself.
 SUBSET = 1 << 20
+#: Edges, of 16 bytes, whose components are found on the driver.
+LOCAL_EDGES = 500_000
 
 
 def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -397,19 +399,45 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Da
         return persist(rows.mapInArrow(run, "a long, b long, jaccard double"), "verified")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(fp, label): the least fp of each connected component, for every end of an edge."""
-    both = persist(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "fp")
-    labels = persist(labels, "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["fp"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["fp"] == near["a"]).select("fp", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("fp").alias("label"), F.col("label").alias("up"))
-        step = persist(step.join(up, "label", "left").select("fp", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        labels = step.select("fp", "label")
-        if step.filter("old <> label").isEmpty():
-            return labels
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the edges, and the least one of the component of each."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.split(at, 2)
+    root = np.arange(len(ends))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    return ends, ends[root]
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """(fp, label): the least fp of each connected component, for every end of an edge.
+
+    In each round all ends go to their least neighbour, or stay if they are less, and edges
+    go with them; ends are hashes, so that a constant part of them is left, however long
+    the chains are.  From ``local`` edges on the driver does the rest."""
+    spark = edges.sparkSession
+    both = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = persist(edges.select(*both).filter("a <> b").distinct(), "edges")
+    labels = None
+
+    def moved(step: DataFrame) -> DataFrame:
+        if labels is None:
+            return step.toDF("fp", "label")
+        return labels.join(step, labels["label"] == step["end"], "left").select("fp", F.coalesce("to", "label").alias("label"))
+
+    while edges.count() > local:
+        step = edges.union(edges.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "end")
+        step = persist(step, "steps")
+        labels = persist(moved(step), "labels")
+        edges = edges.join(step.toDF("a", "ta"), "a").join(step.toDF("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+        edges = persist(edges.select(*both).filter("a <> b").distinct(), "edges")
+    rest = edges.toArrow()
+    ends, to = _roots(rest.column("a").to_numpy(), rest.column("b").to_numpy())
+    return persist(moved(spark.createDataFrame(pa.table({"end": ends, "to": to}), "end long, to long")), "labels")
 
 
 def _need(za: Column, zb: Column, threshold: float, k: int) -> Column:
@@ -440,14 +468,23 @@ def _stars(lists: DataFrame) -> DataFrame:
 
 def _across(lists: DataFrame, known: DataFrame, threshold: float, k: int, part: int) -> DataFrame:
     """(a, b): pairs of different clusters whose count of shared prefix grams allows the threshold."""
-    rows = lists.select("key", "part", "shared", "long", F.explode("sids").alias("sid")).join(known, "sid")
+    return candidates(lists, known, threshold, k, part).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("a", "b")
+
+
+def candidates(lists: DataFrame, known: DataFrame, threshold: float, k: int, part: int) -> DataFrame:
+    """(a, b, shared, need): a row for each list that two sets of different clusters share.  A
+    pair shares no more than either of its sets has in lists of several clusters; pairs that
+    need more than that, most of those that meet by chance, have no rows."""
+    rows = lists.select("key", "part", "shared", "long", F.explode("sids").alias("sid")).join(known, "sid").drop("sid")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    rows = persist(rows.join(mixed, "key", "left_semi"), "entries")
+    rows = rows.join(rows.groupBy("fp").agg(F.sum("shared").alias("most")), "fp")
     # long lists are cut anew in the order of clusters, so that most parts are of one
-    mixed = rows.filter("long").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     place = F.row_number().over(Window.partitionBy("key").orderBy("label", "fp")) - 1
-    cut = rows.filter("long").join(mixed, "key", "left_semi").withColumn("part", F.floor(place / part).cast("long"))
-    member = F.struct("label", "fp", "size")
+    cut = rows.filter("long").withColumn("part", F.floor(place / part).cast("long"))
+    member = F.struct("label", "fp", "size", "most")
     tagged = [x.groupBy("key", "part", "shared").agg(F.sort_array(F.collect_list(member)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")) for x in (rows.filter("NOT long"), cut)]
-    short = tagged[0].filter("lo <> hi").select("shared", "m", F.lit(None).cast("array<struct<label:long,fp:long,size:int>>").alias("other"))
+    short = tagged[0].filter("lo <> hi").select("shared", "m", F.lit(None).cast("array<struct<label:long,fp:long,size:int,most:long>>").alias("other"))
     # parts of long lists meet in pairs, and each with itself
     long = persist(tagged[1], "long")
     other = long.select("key", F.col("part").alias("part2"), F.col("m").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -460,7 +497,7 @@ def _across(lists: DataFrame, known: DataFrame, threshold: float, k: int, part:
             begin, n1 = m.offsets.to_numpy()[:-1] - m.offsets.to_numpy()[0], np.diff(m.offsets.to_numpy())
             begin2, n2 = other.offsets.to_numpy()[:-1] - other.offsets.to_numpy()[0] + n1.sum(), np.diff(other.offsets.to_numpy())
             same = other.is_null().to_numpy(zero_copy_only=False)
-            g, f, z = (np.concatenate([m.flatten().field(c).to_numpy(), other.flatten().field(c).to_numpy()]) for c in range(3))
+            g, f, z, most = (np.concatenate([m.flatten().field(c).to_numpy(), other.flatten().field(c).to_numpy()]) for c in range(4))
             shared = batch.column(0).to_numpy()
             # each member with all of the other side, so many at a time; within a list, with
             # what comes after its own cluster, as members are sorted by cluster
@@ -484,11 +521,12 @@ def _across(lists: DataFrame, known: DataFrame, threshold: float, k: int, part:
                 p, q, r, zs, zl = p[ok], q[ok], r[ok], zs[ok], zl[ok]
                 need = np.ceil((zs + zl) * (threshold / (1 + threshold)) - 1e-9) - np.maximum(np.ceil(zl * threshold - 1e-9) - k, 0)
                 need = np.minimum(np.maximum(need, 1), zs).astype(np.int32)
+                ok = np.minimum(most[p], most[q]) >= need
+                p, q, r, need = p[ok], q[ok], r[ok], need[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(f[p], f[q])), pa.array(np.maximum(f[p], f[q])), pa.array(shared[r]), pa.array(need)], ["a", "b", "shared", "need"])
                 at = end
 
-    pairs = short.union(met).mapInArrow(run, "a long, b long, shared long, need int")
-    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("a", "b")
+    return short.union(met).mapInArrow(run, "a long, b long, shared long, need int")
 
 
 def overlaps(grams: np.ndarray, of: np.ndarray, left: int, right: int) -> np.ndarray:

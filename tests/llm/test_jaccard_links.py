@@ -102,3 +102,50 @@ def test_overlaps_and_forest(dense, monkeypatch):
         for a, b in zip(rows.tolist(), columns.tolist()):
             root[find(a)] = find(left + b)
         assert all(find(a) == find(left + b) for a, b in zip(*np.nonzero(ok)))
+
+
+@pytest.mark.parametrize("shape", ["chain", "forest", "none"])
+def test_components_in_few_rounds(spark, monkeypatch, shape):
+    """Rounds don't grow with the length of a chain; with and without the driver's part they are the same."""
+    written = []
+    persist = jaccard_join.persist
+    monkeypatch.setattr(jaccard_join, "persist", lambda df, name, *a: (written.append(name), persist(df, name, *a))[1])
+    r = random.Random(4)
+    ids = [r.randrange(-(1 << 63), 1 << 63) for _ in range(400)]
+    edges = {"chain": list(zip(ids, ids[1:])), "forest": [(r.choice(ids), r.choice(ids)) for _ in range(250)], "none": []}[shape]
+    edges = [e for e in edges if e[0] != e[1]]
+    want = {i: i for e in edges for i in e}
+    for _ in range(len(ids)):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+        if all(want[a] == want[b] for a, b in edges):
+            break
+    table = spark.createDataFrame(edges, "a long, b long")
+    for how in ({"local": 0}, {}):
+        assert {x.fp: x.label for x in jaccard_join.components(table, **how).collect()} == want
+    assert written.count("labels") < 20  # of a chain of 400
+
+
+def test_pairs_that_meet_by_chance(spark, monkeypatch):
+    """Sets that share a few grams with many others, but with none enough, have no rows of pairs."""
+    rows = []
+    # the sketch doesn't tell frequent grams from rare ones
+    monkeypatch.setattr(jaccard_join, "CELLS", 16)
+    map_arrow = type(frame(spark, [(1, "a")])).mapInArrow
+
+    def counted(self, run, schema, *a, **how):
+        out = map_arrow(self, run, schema, *a, **how)
+        if schema == "a long, b long, shared long, need int":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(frame(spark, [(1, "a")])), "mapInArrow", counted)
+    r = random.Random(5)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(6)) for k in range(3)]
+    docs = []
+    for i in range(80):
+        words = [f"w{r.randrange(10**9)}" for _ in range(60)]
+        docs.append((i, " ".join(words[:30] + [r.choice(phrases)] + words[30:])))
+    docs += [(100 + i, edited(r, docs[i][1], 0.03)) for i in range(20)]
+    assert joined(jaccard_join.groups(frame(spark, docs))) == b_groups(docs)
+    assert rows and sum(rows) < len(docs)

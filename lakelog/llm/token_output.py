@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -108,26 +109,56 @@ def piece_hashes(chars: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
 
 
 class Encoder:
-    """Ids of texts.  Each distinct piece is encoded once; a worker keeps up to ``most`` of them."""
+    """Ids of texts.  Each distinct piece is encoded once; up to about ``most`` of them are kept.
+    Known pieces are found by a table of hashes with open addressing, all of a batch in step."""
 
     def __init__(self, vocabulary: str, most: int = 1_000_000):
         self.encoding, self.most = encoding(vocabulary), most
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known = 0
         self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-
-    def _add(self, key: int, ids: list[int]) -> None:
-        k = self.slot[key] = len(self.slot)
-        if k >= len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.start[k], self.size[k] = self.used, len(ids)
-        self.used += len(ids)
+        self.key, self.start, self.size = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.table = np.full(1 << 15, -1, np.int32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's piece, -1 if it isn't known."""
+        mask = len(self.table) - 1
+        place = (keys & U(mask)).astype(np.int64)
+        out = self.table[place]
+        todo = np.flatnonzero((out >= 0) & (self.key[out] != keys))
+        while len(todo):
+            place[todo] = (place[todo] + 1) & mask
+            out[todo] = found = self.table[place[todo]]
+            todo = todo[(found >= 0) & (self.key[found] != keys[todo])]
+        return out
+
+    def _enter(self, numbers: np.ndarray) -> None:
+        """Put pieces that aren't in the table there."""
+        mask = len(self.table) - 1
+        place = (self.key[numbers] & U(mask)).astype(np.int64)
+        while len(numbers):
+            free = self.table[place] < 0
+            self.table[place[free]] = numbers[free]
+            rest = self.table[place] != numbers
+            numbers, place = numbers[rest], (place[rest] + 1) & mask
+
+    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        old, self.known = self.known, self.known + len(ids)
+        used, self.used = self.used, self.used + int(size.sum())
+        if self.known > len(self.key):
+            self.key, self.start, self.size = (np.resize(x, 2 * self.known) for x in (self.key, self.start, self.size))
+        if self.used > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * self.used)
+        self.pool[used : self.used] = np.fromiter(chain.from_iterable(ids), np.uint16, self.used - used)
+        self.key[old : self.known], self.size[old : self.known] = keys, size
+        self.start[old : self.known] = used + np.cumsum(size) - size
+        if 2 * self.known > len(self.table):
+            self.table = np.full(1 << (4 * self.known - 1).bit_length(), -1, np.int32)
+            old = 0
+        self._enter(np.arange(old, self.known, dtype=np.int32))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the first of each text."""
@@ -138,14 +169,15 @@ class Encoder:
         first = np.concatenate([[0], np.cumsum([len(x) for x in plain])])
         begin = np.flatnonzero(piece_starts(chars, first)) if len(chars) else np.zeros(0, int)
         end = np.append(begin[1:], len(chars)) if len(begin) else begin
-        keys, at, piece = np.unique(piece_hashes(chars, begin, end), return_index=True, return_inverse=True)
-        if len(self.slot) > self.most:
+        hashes = piece_hashes(chars, begin, end)
+        if self.known > self.most:
             self._clear()
-        encode, slot = self.encoding.encode_ordinary, self.slot
-        for key, i in zip(keys.tolist(), at.tolist()):
-            if key not in slot:
-                self._add(key, encode(joined[begin[i] : end[i]]))
-        of = np.fromiter(map(slot.__getitem__, keys.tolist()), np.int64, len(keys))[piece] if len(keys) else piece
+        encode = self.encoding.encode_ordinary
+        of = self._find(hashes)
+        new = np.flatnonzero(of < 0)
+        keys, at, piece = np.unique(hashes[new], return_index=True, return_inverse=True)
+        of[new] = self.known + piece
+        self._add(keys, [encode(joined[i:j]) for i, j in zip(begin[new[at]].tolist(), end[new[at]].tolist())])
         size = self.size[of].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         out = self.pool[np.repeat(self.start[of] - total[:-1], size) + np.arange(total[-1])]
@@ -157,13 +189,19 @@ class Encoder:
         return out, cut
 
 
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """A worker's, with the pieces of its tasks before."""
+    return Encoder(vocabulary)
+
+
 def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids): the 16-bit ids of each text that has any, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        known = encoder(vocabulary)
         for batch in chunks(batches):
-            ids, first = encoder.ids(batch.column(1))
+            ids, first = known.ids(batch.column(1))
             cells = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((2 * first).astype(np.int64)), pa.py_buffer(ids.astype("<u2"))])
             yield pa.RecordBatch.from_arrays([batch.column(0), cells.cast(pa.binary())], ["doc_id", "ids"]).filter(pa.array(np.diff(first) > 0))
 

@@ -21,8 +21,10 @@ buckets; buckets have a fixed number of entries.  Signatures with grams that the
 counts beyond ``HOT`` are spread over several buckets, and lists of more than ``PART`` sets
 are kept in parts, so that no task holds a whole hot list.
 
-Sets that share enough lists with a leader make clusters.  Within a cluster all sets are
-compared exactly, by products of matrices, block by block, so that links between m near
+Sets that share enough lists with a leader make clusters: cores of sets that are alike by
+these counts, and around them sets that are less so, which connect no cores, so that
+passages common to unlike documents don't chain them together.  Within a cluster all sets
+are compared exactly, by products of matrices, block by block, so that links between m near
 copies are all counted without m * m rows; links to copies count without being listed.
 Across clusters every pair whose count of shared prefix grams allows the threshold is
 checked exactly.  Only texts of sets that are compared are shuffled, compressed, and are read
@@ -69,7 +71,7 @@ PART = 4096
 FILTER_BITS = 26
 #: Pairs of sets that are looked at at a time.
 PAIRS = 200_000
-#: A set is put to the cluster of its best leader from this part of the count on that a link needs.
+#: A set of no core is put to the core of its best leader from this part of a core's count on.
 LEAN = 4
 #: Sets and grams of a block; blocks of a cluster are compared two by two.
 TILE = 1024
@@ -446,6 +448,15 @@ def _need(za: Column, zb: Column, threshold: float, k: int) -> Column:
     return F.least(F.greatest(least, F.lit(1)), F.least(za, zb))
 
 
+def _alike(za: Column, zb: Column, threshold: float, k: int) -> Column:
+    """How many prefix grams sets of these sizes share, if they are in one cluster: those they
+    need, which are few for unlike sizes, and about half of what the smaller one's prefix has in
+    common with an equally large set at the threshold, which a passage alone hasn't."""
+    z = F.least(za, zb)
+    prefix = F.least(z, z - F.ceil(z * threshold - 1e-9) + k)
+    return F.greatest(_need(za, zb, threshold, k), F.ceil(prefix * (threshold / (1 + threshold)) - 1e-9))
+
+
 def _stars(lists: DataFrame) -> DataFrame:
     """(a, b, shared): sets with the leaders of their lists, and how many lists they have in common with them."""
 
@@ -661,11 +672,13 @@ def _joined(docs: DataFrame, n: int, threshold: float, k: int, hot: int, part: i
     # clusters: sets and the leaders they may be linked with, by the counts alone
     sid = F.col("fp").bitwiseAND(F.lit((1 << SET_BITS) - 1)).alias("sid")
     ends = [sets.select(sid.alias(c), F.col("fp").alias(f"f{c}"), F.col("size").alias(f"z{c}")) for c in "ab"]
-    star = _stars(lists).filter(F.col("shared") >= k).join(ends[0], "a").join(ends[1], "b").withColumn("need", _need(F.col("za"), F.col("zb"), threshold, k))
+    star = _stars(lists).filter(F.col("shared") >= k).join(ends[0], "a").join(ends[1], "b").withColumn("need", _alike(F.col("za"), F.col("zb"), threshold, k))
     star = persist(star.filter(F.col("shared") * LEAN >= F.col("need")).select("fa", "fb", "shared", "need"), "stars")
-    best = star.groupBy("fa").agg(F.max_by("fb", F.struct("shared", "fb")).alias("fb"))
-    clusters = components(star.filter("shared >= need").select("fa", "fb").union(best).toDF("a", "b"))
-    known = persist(sets.join(clusters, "fp", "left").select(sid, "fp", "size", "rid", "copies", F.coalesce("label", "fp").alias("label")), "known")
+    cores = components(star.filter("shared >= need").select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    # sets of no core go to that of their best leader, which connects no cores
+    best = star.join(cores, star["fa"] == cores["fp"], "left_anti").groupBy("fa").agg(F.max_by("fb", F.struct("shared", "fb")).alias("fb"))
+    around = best.join(cores, best["fb"] == cores["fp"], "left").select(F.col("fa").alias("fp"), F.coalesce("label", "fb").alias("label"))
+    known = persist(sets.join(cores.union(around), "fp", "left").select(sid, "fp", "size", "rid", "copies", F.coalesce("label", "fp").alias("label")), "known")
     within = _within(docs, known.drop("sid"), n, threshold, tile, most)
 
     # pairs across clusters that the counts allow

@@ -149,3 +149,32 @@ def test_pairs_that_meet_by_chance(spark, monkeypatch):
     docs += [(100 + i, edited(r, docs[i][1], 0.03)) for i in range(20)]
     assert joined(jaccard_join.groups(frame(spark, docs))) == b_groups(docs)
     assert rows and sum(rows) < len(docs)
+
+
+def test_passages_do_not_chain_clusters(spark, monkeypatch):
+    """Unlike documents that have passages in common, each with others, aren't shipped to be compared all with all."""
+    shipped = []
+    persist = jaccard_join.persist
+
+    def counted(df, name, *a):
+        out = persist(df, name, *a)
+        if name == "clusters":
+            shipped.append(sum(x.m * x.blocks for x in out.collect()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "persist", counted)
+    # the sketch doesn't tell frequent grams from rare ones
+    monkeypatch.setattr(jaccard_join, "CELLS", 16)
+    r = random.Random(6)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passages = [words(14) for _ in range(20)]
+    docs = []
+    for i in range(150):
+        rest = words(r.choice([40, 55, 75, 100, 130]))
+        a, b = r.sample(passages, 2)
+        docs.append((i, " ".join(rest[:20] + a + rest[20:] + b)))
+    docs += [(1000 + i, edited(r, docs[i][1], 0.03)) for i in range(20)]
+    out = jaccard_join.links(frame(spark, docs), tile=8)
+    assert {x.doc_id: x.n_links for x in out.collect()} == b_links(docs, 5, 0.5)
+    assert joined(out) == b_groups(docs)
+    assert sum(shipped) < 2 * len(docs)

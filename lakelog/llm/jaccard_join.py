@@ -450,11 +450,11 @@ def _need(za: Column, zb: Column, threshold: float, k: int) -> Column:
 
 def _alike(za: Column, zb: Column, threshold: float, k: int) -> Column:
     """How many prefix grams sets of these sizes share, if they are in one cluster: those they
-    need, which are few for unlike sizes, and about half of what the smaller one's prefix has in
-    common with an equally large set at the threshold, which a passage alone hasn't."""
+    need, which are few for unlike sizes, and about three quarters of what the smaller one's prefix
+    has in common with an equally large set at the threshold, which a passage alone hasn't."""
     z = F.least(za, zb)
     prefix = F.least(z, z - F.ceil(z * threshold - 1e-9) + k)
-    return F.greatest(_need(za, zb, threshold, k), F.ceil(prefix * (threshold / (1 + threshold)) - 1e-9))
+    return F.greatest(_need(za, zb, threshold, k), F.ceil(prefix * (1.5 * threshold / (1 + threshold)) - 1e-9))
 
 
 def _stars(lists: DataFrame) -> DataFrame:
@@ -672,7 +672,9 @@ def _joined(docs: DataFrame, n: int, threshold: float, k: int, hot: int, part: i
     # clusters: sets and the leaders they may be linked with, by the counts alone
     sid = F.col("fp").bitwiseAND(F.lit((1 << SET_BITS) - 1)).alias("sid")
     ends = [sets.select(sid.alias(c), F.col("fp").alias(f"f{c}"), F.col("size").alias(f"z{c}")) for c in "ab"]
-    star = _stars(lists).filter(F.col("shared") >= k).join(ends[0], "a").join(ends[1], "b").withColumn("need", _alike(F.col("za"), F.col("zb"), threshold, k))
+    star = _stars(lists).filter(F.col("shared") >= k).join(ends[0], "a").join(ends[1], "b")
+    # sizes too unlike for a link make no cluster
+    star = star.filter(F.least("za", "zb") >= F.greatest("za", "zb") * threshold - 1e-9).withColumn("need", _alike(F.col("za"), F.col("zb"), threshold, k))
     star = persist(star.filter(F.col("shared") * LEAN >= F.col("need")).select("fa", "fb", "shared", "need"), "stars")
     cores = components(star.filter("shared >= need").select(F.col("fa").alias("a"), F.col("fb").alias("b")))
     # sets of no core go to that of their best leader, which connects no cores
